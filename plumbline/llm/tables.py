@@ -1,0 +1,50 @@
+"""Where intermediate tables go, and how lineage is cut."""
+
+from __future__ import annotations
+
+import gc
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local default only where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file:///tmp/plumbline-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends at files that every executor sees."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes tables made by ``materialise`` that no later plan reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for df in frames:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/plumbline-" in f:
+                path = hadoop.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
