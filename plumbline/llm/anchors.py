@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import kernels as K, tables
+from plumbline import tables
+
+from . import kernels as K
 
 U64 = K.U64
 _LOW = (1 << 24) - 1
@@ -92,21 +94,34 @@ def _by_doc(doc_ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[n
 
 def repeated(docs: DataFrame, win: Windows) -> DataFrame:
     """(doc_id, fps): anchors of a document that occur elsewhere too, as blobs of hashes; several rows for one document."""
-    b = tables.partitions(docs.sparkSession)
+
+    def extract(batches):
+        for batch, data, off in K.chunks(batches):
+            sums, ptr, *_ = win.symbols(data, off)
+            fp, _, _, doc = choose(sums, ptr, win)
+            yield fp, K.ids_column(batch)[doc]
+
+    return meeting(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), extract, win.inside)
+
+
+def meeting(rows: DataFrame, extract: Callable, inside: bool) -> DataFrame:
+    """(doc_id, fps): for each document, those of its hashes that other documents have too (with ``inside``: or that it has twice).
+
+    ``extract(batches)`` yields (hashes, document ids) for some rows at a time.
+    """
+    b = tables.partitions(rows.sparkSession)
 
     def out(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(K.blobs(c) for c in cols[2:])], ["bucket", "doc_id", "fps", "docs", "idx", "many"])
 
     def send(batches: Iterator[pa.RecordBatch]):
-        for batch, data, off in K.chunks(batches):
-            sums, ptr, *_ = win.symbols(data, off)
-            fp, _, _, doc = choose(sums, ptr, win)
+        for fp, doc in extract(batches):
             if not len(fp):
                 continue
             order = np.lexsort((doc, fp))
-            fp, doc = fp[order], K.ids_column(batch)[doc[order]]
-            if not win.inside:
+            fp, doc = fp[order], doc[order]
+            if not inside:
                 new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
                 fp, doc = fp[new], doc[new]
             head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
@@ -114,8 +129,9 @@ def repeated(docs: DataFrame, win: Windows) -> DataFrame:
             many = np.repeat(size > 1, size)
             rows = []
             if many.any():
-                pairs = np.unique(np.stack([doc[many].view(U64), fp[many]]), axis=1) if win.inside else np.stack([doc[many].view(U64), fp[many]])
-                ids, parts = _by_doc(pairs[0].view(np.int64), pairs[1])
+                d, f = doc[many], fp[many]
+                new = np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])])
+                ids, parts = _by_doc(d[new], f[new])
                 rows += [(int(i % b), int(i), p, None, None, None) for i, p in zip(ids, parts)]
             fp, doc, many = fp[head], doc[head], size > 1
             bucket = ((fp >> U64(24)) % U64(b)).astype(np.int32)
@@ -157,8 +173,7 @@ def repeated(docs: DataFrame, win: Windows) -> DataFrame:
         for i in range(0, len(ids), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096]), K.blobs(parts[i : i + 4096])], ["doc_id", "fps"])
 
-    sent = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(send, _ANCHORS)
-    return sent.repartitionById(b, F.col("bucket")).mapInArrow(meet, "doc_id long, fps binary")
+    return rows.mapInArrow(send, _ANCHORS).repartitionById(b, F.col("bucket")).mapInArrow(meet, "doc_id long, fps binary")
 
 
 _SNIPPETS = "bucket int, doc_id long, cover binary, fps binary, docs binary, lo binary, count binary, size binary, body binary"

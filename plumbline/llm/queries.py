@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import attach
 
-from . import language, quality, substring, suffix, toxicity
+from . import jaccard, language, quality, substring, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,4 +42,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_substring": op3_substring, "op4_language": op4_language, "op5_suffix_array": op5_suffix_array, "op7_quality": op7_quality}
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_substring": op3_substring, "op4_language": op4_language, "op5_suffix_array": op5_suffix_array, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard}
