@@ -194,3 +194,15 @@ def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return find(docs.select(F.col("doc_id").cast("long"), "text"), size).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def cut_text(found: DataFrame) -> DataFrame:
+    """``find``'s rows with ``__cut``: what is left of the text, without the bytes of characters that a cut went through."""
+
+    def run(texts):
+        for text, told in texts:
+            yield pa.array([kept_bytes(t.as_buffer().to_pybytes() if t.is_valid else b"", x)[0].decode("utf-8", "ignore") for t, x in zip(text.cast(pa.large_string()), told.to_pylist())], pa.string())
+
+    # not deterministic for the optimiser, so that a filter on the result doesn't run it twice
+    cut = F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return found.withColumn("__cut", cut(F.col("text"), F.col("told")))
