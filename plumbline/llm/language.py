@@ -122,17 +122,19 @@ def fit(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> dict:
                 ws += np.bincount(w[mine], minlength=WORDS)
                 sc += np.bincount(top[mine], minlength=len(SCRIPT_NAMES))
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(K.blobs([v[i].astype(np.int32) for v in sums.values()]) for i in range(3))], ["lang", "g", "w", "s"])
+            # counts that are not 0, as (place, count) pairs
+            packed = [[np.stack([np.flatnonzero(x), x[np.flatnonzero(x)]]).astype(np.int32) for x in v] for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(K.blobs([v[i] for v in packed]) for i in range(3))], ["lang", "g", "w", "s"])
 
     # a fixed number of tasks, so that the tables sent to the driver are bounded as well
-    parts = picked.repartition(4, "doc_id").mapInArrow(count, "lang string, g binary, w binary, s binary").collect()
+    parts = picked.repartition(4).mapInArrow(count, "lang string, g binary, w binary, s binary").collect()
     names = sorted({p.lang for p in parts})
     g, w, s = (np.zeros((len(names), n)) for n in (GRAMS, WORDS, len(SCRIPT_NAMES)))
     for p in parts:
         i = names.index(p.lang)
-        g[i] += np.frombuffer(p.g, np.int32)
-        w[i] += np.frombuffer(p.w, np.int32)
-        s[i] += np.frombuffer(p.s, np.int32)
+        for table, blob in ((g, p.g), (w, p.w), (s, p.s)):
+            at, count = np.frombuffer(blob, np.int32).reshape(2, -1)
+            table[i, at] += count
     if not names:
         return {"names": [], "cfg": cfg}
     lg = np.log((g + 0.5) / (g.sum(1, keepdims=True) + 0.5 * GRAMS))
