@@ -176,7 +176,7 @@ def meeting(rows: DataFrame, extract: Callable, inside: bool) -> DataFrame:
     return rows.mapInArrow(send, _ANCHORS).repartitionById(b, F.col("bucket")).mapInArrow(meet, "doc_id long, fps binary")
 
 
-_SNIPPETS = "bucket int, doc_id long, cover binary, fps binary, docs binary, lo binary, count binary, size binary, body binary"
+_SNIPPETS = "bucket int, doc_id long, cover binary, fps binary, same binary, docs binary, lo binary, count binary, size binary, body binary"
 
 
 def with_blobs(docs: DataFrame, told: DataFrame, column: str, how: str) -> DataFrame:
@@ -209,9 +209,9 @@ def covers(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
 def snippets(docs: DataFrame, told: DataFrame, win: Windows, judge: Callable) -> DataFrame:
     """(doc_id, cover): stretches of symbols that windows found before cover, as blobs; several rows for one document.
 
-    ``judge(fp, doc, lo, count, size, body)`` gets a bucket's snippets (one for
-    each row: anchor hash, document, first window, windows, bytes) and returns
-    (document, from symbol, to symbol) arrays.
+    ``judge(fp, same, doc, lo, count, size, body)`` gets a bucket's snippets (for
+    each one: anchor hash, content hash, document, first window, windows, bytes)
+    and returns (document, from symbol, to symbol) arrays.
     """
     b = tables.partitions(docs.sparkSession)
     names = [x.split()[0] for x in _SNIPPETS.split(", ")]
@@ -243,7 +243,7 @@ def snippets(docs: DataFrame, told: DataFrame, win: Windows, judge: Callable) ->
             rows = []
             if len(later):
                 got, parts = covers(ids[later], lo[later], lo[later] + count[later] - 1 + win.size)
-                rows += [(int(i % b), int(i), p) + (None,) * 6 for i, p in zip(got, parts)]
+                rows += [(int(i % b), int(i), p) + (None,) * 7 for i, p in zip(got, parts)]
             order = order[keep]
             bucket = ((fp[order] >> U64(24)) % U64(b)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
@@ -252,24 +252,29 @@ def snippets(docs: DataFrame, told: DataFrame, win: Windows, judge: Callable) ->
                 mine = order[by[at[i] : at[i + 1]]]
                 if len(mine):
                     a, z = s[first[mine]], e[until[mine] - 1]
-                    rows.append((i, None, None, fp[mine], ids[mine], lo[mine].astype(np.int64), count[mine].astype(np.int32), (z - a).astype(np.int32), body[K.ranges(a, z - a)]))
+                    rows.append((i, None, None, fp[mine], same[mine], ids[mine], lo[mine].astype(np.int64), count[mine].astype(np.int32), (z - a).astype(np.int32), body[K.ranges(a, z - a)]))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(K.blobs(c) for c in cols[2:])], names)
 
     def meet(batches: Iterator[pa.RecordBatch]):
-        kept: list[list[np.ndarray]] = [[] for _ in range(6)]
-        types = (U64, np.int64, np.int64, np.int32, np.int32, np.uint8)
+        kept: list[list[np.ndarray]] = [[] for _ in range(7)]
+        types = (U64, U64, np.int64, np.int64, np.int32, np.int32, np.uint8)
         for batch in batches:
             own = pa.compute.is_valid(batch.column(1))
             done = batch.filter(own)
             if len(done):
                 yield pa.RecordBatch.from_arrays([done.column(1), done.column(2)], ["doc_id", "cover"])
             rest = batch.filter(pa.compute.invert(own))
-            for i in range(6):
+            for i in range(7):
                 kept[i] += [np.frombuffer(x.as_buffer(), types[i]) for x in rest.column(i + 3)]
         if not kept[0]:
             return
-        doc, lo, hi = judge(*(np.concatenate(x) for x in kept))
+        whole = []
+        for x in kept:
+            whole.append(np.concatenate(x))
+            x.clear()
+        doc, lo, hi = judge(*whole)
+        del whole
         ids, parts = covers(doc, lo, hi)
         for i in range(0, len(ids), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096], pa.int64()), K.blobs(parts[i : i + 4096])], ["doc_id", "cover"])

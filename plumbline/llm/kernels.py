@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass holds.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1

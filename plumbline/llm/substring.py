@@ -88,7 +88,7 @@ class FingerprintLog:
 def judge(win: anchors.Windows):
     """The bucket step for ``anchors.snippets``: batches of windows against the bucket's log."""
 
-    def run(fp, doc, lo, count, size, body):
+    def run(fp, same, doc, lo, count, size, body):
         log = FingerprintLog()
         ends = np.cumsum(size.astype(np.int64))
         order = np.lexsort((lo, doc))

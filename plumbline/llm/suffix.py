@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import anchors, kernels as K
 
-#: Bytes of one shard.
-SHARD = 1 << 20
+U64 = K.U64
+#: Bytes of one shard, and of what a bucket merges at once.
+SHARD, PART = 1 << 19, 1 << 22
 _STEP = 7
 
 
@@ -37,15 +38,15 @@ class Shard:
         sym = np.zeros(int(ends[-1]) + 1, np.uint16)
         inside = K.ranges(ends - size, size)
         sym[inside] = body.astype(np.uint16) + np.uint16(1)
-        self.of = np.repeat(np.arange(len(size)), size + 1) + first
-        self.at = np.arange(len(sym)) - np.repeat(ends - size, size + 1)
+        self.of = np.repeat(np.arange(first, first + len(size), dtype=np.int32), size + 1)
+        self.at = (np.arange(len(sym)) - np.repeat(ends - size, size + 1)).astype(np.int32)
         sa = self.sort(sym)
-        rank = np.empty(len(sa), np.int64)
+        rank = np.empty(len(sa), np.int32)
         rank[sa] = np.arange(len(sa))
         before = sa - 1
         self.bwt = np.where(self.at[sa] > 0, sym[before], 0).astype(np.uint16)
         self.lf = np.where(self.at[sa] > 0, rank[before], -1)
-        self.sa = sa
+        self.sa = sa.astype(np.int32)
 
     @staticmethod
     def sort(sym: np.ndarray, depth: int = 64) -> np.ndarray:
@@ -88,8 +89,8 @@ def repeated_windows(shards: list[Shard], size: int) -> tuple[np.ndarray, np.nda
     """
     base = np.cumsum([0, *(len(s.bwt) for s in shards)])
     bwt = np.concatenate([s.bwt for s in shards])
-    lf = np.concatenate([np.where(s.lf >= 0, s.lf + b, -1) for s, b in zip(shards, base)])
-    rows, block = np.arange(base[-1]), np.zeros(base[-1], np.int64)
+    lf = np.concatenate([np.where(s.lf >= 0, s.lf + np.int32(b), np.int32(-1)) for s, b in zip(shards, base)])
+    rows, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
     for _ in range(size):
         sym = bwt[rows]
         on = sym > 0
@@ -100,7 +101,7 @@ def repeated_windows(shards: list[Shard], size: int) -> tuple[np.ndarray, np.nda
             break
         edge = np.concatenate([[True], (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])])
         alone = edge & np.append(edge[1:], True)
-        block = (np.cumsum(edge) - 1)[~alone]
+        block = (np.cumsum(edge, dtype=np.int32) - np.int32(1))[~alone]
         rows = rows[~alone]
     of = np.concatenate([s.of[s.sa] for s in shards])[rows]
     at = np.concatenate([s.at[s.sa] for s in shards])[rows]
@@ -108,48 +109,62 @@ def repeated_windows(shards: list[Shard], size: int) -> tuple[np.ndarray, np.nda
 
 
 def judge(win: anchors.Windows):
-    """The bucket step for ``anchors.snippets``: covered stretches by merged shard BWTs."""
-
-    def run(fp, doc, lo, count, size, body):
-        ends = np.cumsum(size.astype(np.int64))
-        starts = ends - size
-        sums = K.prefix(K.BYTES[body])
-        name = K.spans(sums, starts, ends)
-        del sums
-        order = np.lexsort((doc, name))
-        head = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-        text_of = np.empty(len(fp), np.int64)
-        text_of[order] = np.cumsum(head) - 1
-        pick = order[head]  # one copy of each distinct stretch, from its smallest document
-        least = doc[pick]
-        copies = doc > least[text_of]
-        out = [(doc[copies], lo[copies], lo[copies] + count[copies] - 1 + win.size)]
-        held = np.cumsum(size[pick].astype(np.int64) + 1)
-        shards, i = [], 0
-        while i < len(pick):
-            j = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + SHARD, "right")))
-            part = pick[i:j]
-            shards.append(Shard(body[K.ranges(starts[part], size[part].astype(np.int64))], size[part].astype(np.int64), i))
-            i = j
-        block, of, at = repeated_windows(shards, win.size)
-        if len(block):
-            first = np.full(int(block.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, block, least[of])
-            late = first[block] < least[of]
-            of, at = of[late], at[late]
-            # each stretch's windows, for every row of its smallest document
-            rows = np.flatnonzero(~copies)
-            rows = rows[np.argsort(text_of[rows], kind="stable")]
-            n = np.bincount(text_of[rows], minlength=len(pick))
-            skip = np.cumsum(n) - n
-            r = rows[K.ranges(skip[of], n[of])]
-            a = np.repeat(at, n[of])
-            out.append((doc[r], lo[r] + a, lo[r] + a + win.size))
+    """The bucket step for ``anchors.snippets``: covered stretches by merged shard BWTs.
+
+    Equal windows have equal anchors, so a bucket is worked off in parts by anchor hash, each of about ``PART`` bytes.
+    """
+
+    def run(fp, same, doc, lo, count, size, body):
+        starts = np.cumsum(size, dtype=np.int64) - size
+        parts = -(-len(body) // PART)
+        part = ((fp >> U64(40)) % U64(max(parts, 1))).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(parts + 1))
+        out = []
+        for i in range(parts):
+            mine = order[at[i] : at[i + 1]]
+            if len(mine):
+                out += _part(win, same[mine], doc[mine], lo[mine], count[mine], size[mine].astype(np.int64), starts[mine], body)
         return tuple(np.concatenate(x) for x in zip(*out))
 
     return run
 
 
+def _part(win, same, doc, lo, count, size, starts, body) -> list:
+    order = np.lexsort((doc, same))
+    head = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+    text_of = np.empty(len(same), np.int64)
+    text_of[order] = np.cumsum(head) - 1
+    pick = order[head]  # one copy of each distinct stretch, from its smallest document
+    least = doc[pick]
+    copies = doc > least[text_of]
+    out = [(doc[copies], lo[copies], lo[copies] + count[copies] - 1 + win.size)]
+    held = np.cumsum(size[pick] + 1)
+    shards, i = [], 0
+    while i < len(pick):
+        j = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + SHARD, "right")))
+        chosen = pick[i:j]
+        shards.append(Shard(body[K.ranges(starts[chosen], size[chosen])], size[chosen], i))
+        i = j
+    block, of, at = repeated_windows(shards, win.size)
+    if len(block):
+        first = np.full(int(block.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, block, least[of])
+        late = first[block] < least[of]
+        of, at = of[late].astype(np.int64), at[late].astype(np.int64)
+        # each stretch's windows, for every row of its smallest document
+        rows = np.flatnonzero(~copies)
+        rows = rows[np.argsort(text_of[rows], kind="stable")]
+        n = np.bincount(text_of[rows], minlength=len(pick))
+        skip = np.cumsum(n) - n
+        r = rows[K.ranges(skip[of], n[of])]
+        a = np.repeat(at, n[of])
+        got, pairs = anchors.covers(doc[r], lo[r] + a, lo[r] + a + win.size)
+        flat = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+        out.append((np.repeat(got, [len(p) for p in pairs]), flat[:, 0], flat[:, 1]))
+    return out
+
+
 def windows(size: int = 50) -> anchors.Windows:
     return anchors.Windows(words=False, size=size, k=max(1, size - 26), inside=False)
 
