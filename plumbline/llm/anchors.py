@@ -83,7 +83,64 @@ def choose(sums: np.ndarray, ptr: np.ndarray, win: Windows) -> tuple[np.ndarray,
     return gram[p[head]], starts[head], count, np.searchsorted(ptr, starts[head], "right") - 1
 
 
-_ANCHORS = "bucket int, doc_id long, fps binary, docs binary, idx binary, many binary"
+#: Bits of an anchor hash that are exchanged: chance equals only cost work.
+_FP = U64((1 << 48) - 1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one zstandard-compressed blob."""
+    import zstandard
+
+    return zstandard.compress(np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+
+
+def unpack(blob: bytes, *types) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
+    at = 8 + sizes.nbytes + np.concatenate([[0], np.cumsum(sizes)])
+    return [np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, int(a)) for t, a, n in zip(types, at, sizes)]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(bucket, kind, blob) rows: kind 0 goes to be compared, kind 1 is an answer on its way to a group of documents."""
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), K.blobs(cols[2])], ["bucket", "kind", "blob"])
+
+
+_PACKED = "bucket int, kind int, blob binary"
+
+
+def _answers(doc: np.ndarray, b: int, *values: np.ndarray) -> list[tuple]:
+    """Rows of kind 1 for (document, values), one for each group of documents."""
+    group = (doc % b).astype(np.int32)
+    order = np.lexsort((doc, group))
+    at = np.searchsorted(group[order], np.arange(b + 1))
+    return [(i, 1, pack(doc[order[at[i] : at[i + 1]]], *(v[order[at[i] : at[i + 1]]] for v in values))) for i in range(b) if at[i + 1] > at[i]]
+
+
+def _routed(rows: DataFrame, b: int, meet: Callable, gather: Callable, schema: str) -> DataFrame:
+    """Rows to their buckets, the answers to their groups of documents, one row for each document out."""
+
+    def first(batches):
+        held = []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            blobs = batch.column(2)
+            at = np.flatnonzero(kind == 1)
+            if len(at):
+                yield batch.take(pa.array(at))
+            held += [blobs[int(i)].as_py() for i in np.flatnonzero(kind == 0)]
+        if held:
+            yield _rows(meet(held))
+
+    def second(batches):
+        held = [x.as_py() for batch in batches for x in batch.column(2)]
+        if held:
+            yield from gather(held)
+
+    return rows.repartitionById(b, F.col("bucket")).mapInArrow(first, _PACKED).repartitionById(b, F.col("bucket")).mapInArrow(second, schema)
 
 
 def _by_doc(doc_ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -107,18 +164,16 @@ def repeated(docs: DataFrame, win: Windows) -> DataFrame:
 def meeting(rows: DataFrame, extract: Callable, inside: bool) -> DataFrame:
     """(doc_id, fps): for each document, those of its hashes that other documents have too (with ``inside``: or that it has twice).
 
-    ``extract(batches)`` yields (hashes, document ids) for some rows at a time.
+    ``extract(batches)`` yields (hashes, document ids) for some rows at a time;
+    the hashes in the answer are cut to 48 bits. One row for each document.
     """
     b = tables.partitions(rows.sparkSession)
 
-    def out(rows: list) -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(K.blobs(c) for c in cols[2:])], ["bucket", "doc_id", "fps", "docs", "idx", "many"])
-
     def send(batches: Iterator[pa.RecordBatch]):
         for fp, doc in extract(batches):
             if not len(fp):
                 continue
+            fp = fp & _FP
             order = np.lexsort((doc, fp))
             fp, doc = fp[order], doc[order]
             if not inside:
@@ -127,39 +182,29 @@ def meeting(rows: DataFrame, extract: Callable, inside: bool) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
             size = np.diff(np.append(head, len(fp)))
             many = np.repeat(size > 1, size)
-            rows = []
-            if many.any():
-                d, f = doc[many], fp[many]
-                new = np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])])
-                ids, parts = _by_doc(d[new], f[new])
-                rows += [(int(i % b), int(i), p, None, None, None) for i, p in zip(ids, parts)]
+            rows = _answers(doc[many], b, fp[many]) if many.any() else []
             fp, doc, many = fp[head], doc[head], size > 1
-            bucket = ((fp >> U64(24)) % U64(b)).astype(np.int32)
+            bucket = ((fp >> U64(8)) % U64(b)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(b + 1))
             for i in range(b):
                 mine = order[at[i] : at[i + 1]]
                 if len(mine):
                     table, idx = np.unique(doc[mine], return_inverse=True)
-                    rows.append((i, None, fp[mine], table, idx.astype(np.uint16 if len(table) < 65536 else np.uint32), np.packbits(many[mine])))
-            yield out(rows)
+                    six = np.ascontiguousarray(fp[mine]).view(np.uint8).reshape(-1, 8)[:, :6]
+                    rows.append((i, 0, pack(np.ascontiguousarray(six), table, idx.astype(np.uint32), np.packbits(many[mine]))))
+            yield _rows(rows)
 
-    def meet(batches: Iterator[pa.RecordBatch]):
+    def meet(held: list[bytes]) -> list[tuple]:
         fps, docs_, many = [], [], []
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            own = pa.compute.is_valid(col["doc_id"])
-            done = batch.filter(own)
-            if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2)], ["doc_id", "fps"])
-            for r in batch.filter(pa.compute.invert(own)).select(["fps", "docs", "idx", "many"]).to_pylist():
-                f, table = np.frombuffer(r["fps"], U64), np.frombuffer(r["docs"], np.int64)
-                idx = np.frombuffer(r["idx"], np.uint16 if len(table) < 65536 else np.uint32)
-                fps.append(f)
-                docs_.append(table[idx])
-                many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(f)).astype(bool))
-        if not fps:
-            return
+        for blob in held:
+            six, table, idx, bits = unpack(blob, np.uint8, np.int64, np.uint32, np.uint8)
+            wide = np.zeros((len(idx), 8), np.uint8)
+            wide[:, :6] = six.reshape(-1, 6)
+            fps.append(wide.view(U64).ravel())
+            docs_.append(table[idx])
+            many.append(np.unpackbits(bits, count=len(idx)).astype(bool))
+        held.clear()
         f, d, m = np.concatenate(fps), np.concatenate(docs_), np.concatenate(many)
         del fps, docs_, many
         order = np.argsort(f, kind="stable")
@@ -169,20 +214,21 @@ def meeting(rows: DataFrame, extract: Callable, inside: bool) -> DataFrame:
         hot[1:] |= same
         hot[:-1] |= same
         hot &= ~m[order]  # those have been told their documents already
-        ids, parts = _by_doc(d[order][hot], f[hot])
-        for i in range(0, len(ids), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096]), K.blobs(parts[i : i + 4096])], ["doc_id", "fps"])
-
-    return rows.mapInArrow(send, _ANCHORS).repartitionById(b, F.col("bucket")).mapInArrow(meet, "doc_id long, fps binary")
+        return _answers(d[order][hot], b, f[hot])
 
+    def gather(held: list[bytes]):
+        parts = [unpack(x, np.int64, U64) for x in held]
+        doc, fp = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        ids, lists = _by_doc(doc, fp)
+        for i in range(0, len(ids), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096]), K.blobs([np.unique(x) for x in lists[i : i + 4096]])], ["doc_id", "fps"])
 
-_SNIPPETS = "bucket int, doc_id long, cover binary, fps binary, same binary, docs binary, lo binary, count binary, size binary, body binary"
+    return _routed(rows.mapInArrow(send, _PACKED), b, meet, gather, "doc_id long, fps binary")
 
 
 def with_blobs(docs: DataFrame, told: DataFrame, column: str, how: str) -> DataFrame:
-    """docs joined with the gathered blobs of each document, as array column ``told``."""
-    gathered = told.groupBy("doc_id").agg(F.collect_list(column).alias("told")).withColumnRenamed("doc_id", "__id")
-    return docs.join(gathered, F.col("doc_id") == F.col("__id"), how).drop("__id")
+    """docs joined with each document's blob, as column ``told``."""
+    return docs.join(told.select(F.col("doc_id").alias("__id"), F.col(column).alias("told")), F.col("doc_id") == F.col("__id"), how).drop("__id")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,22 +253,23 @@ def covers(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
 
 
 def snippets(docs: DataFrame, told: DataFrame, win: Windows, judge: Callable) -> DataFrame:
-    """(doc_id, cover): stretches of symbols that windows found before cover, as blobs; several rows for one document.
+    """(doc_id, cover): stretches of symbols that windows found before cover, merged, as a blob of pairs; one row for each document.
 
     ``judge(fp, same, doc, lo, count, size, body)`` gets a bucket's snippets (for
     each one: anchor hash, content hash, document, first window, windows, bytes)
     and returns (document, from symbol, to symbol) arrays.
     """
     b = tables.partitions(docs.sparkSession)
-    names = [x.split()[0] for x in _SNIPPETS.split(", ")]
+    types = (np.uint32, U64, np.int64, np.uint32, np.int64, np.int32, np.int32, np.uint8)
 
     def send(batches: Iterator[pa.RecordBatch]):
         for batch, data, off in K.chunks(batches):
-            want = [np.frombuffer(x, U64) for row in batch.column(batch.schema.get_field_index("told")).to_pylist() for x in row or ()]
+            want = [np.frombuffer(x, U64) for x in batch.column(batch.schema.get_field_index("told")).to_pylist() if x]
             sums, ptr, body, s, e = win.symbols(data, off)
             fp, first, count, doc = choose(sums, ptr, win)
             if not want or not len(fp):
                 continue
+            fp = fp & _FP
             want = np.unique(np.concatenate(want))
             at = np.searchsorted(want, fp)
             at[at == len(want)] = 0
@@ -242,50 +289,54 @@ def snippets(docs: DataFrame, told: DataFrame, win: Windows, judge: Callable) ->
             later = order[~keep]
             rows = []
             if len(later):
-                got, parts = covers(ids[later], lo[later], lo[later] + count[later] - 1 + win.size)
-                rows += [(int(i % b), int(i), p) + (None,) * 7 for i, p in zip(got, parts)]
+                d, a, z = _flat(ids[later], lo[later], lo[later] + count[later] - 1 + win.size)
+                rows += _answers(d, b, a, z)
             order = order[keep]
-            bucket = ((fp[order] >> U64(24)) % U64(b)).astype(np.int32)
+            bucket = ((fp[order] >> U64(8)) % U64(b)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[by], np.arange(b + 1))
             for i in range(b):
-                mine = order[by[at[i] : at[i + 1]]]
+                mine = np.sort(order[by[at[i] : at[i + 1]]])
                 if len(mine):
                     a, z = s[first[mine]], e[until[mine] - 1]
-                    rows.append((i, None, None, fp[mine], same[mine], ids[mine], lo[mine].astype(np.int64), count[mine].astype(np.int32), (z - a).astype(np.int32), body[K.ranges(a, z - a)]))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(K.blobs(c) for c in cols[2:])], names)
+                    table, idx = np.unique(ids[mine], return_inverse=True)
+                    rows.append((i, 0, pack((fp[mine] >> U64(16)).astype(np.uint32), same[mine], table, idx.astype(np.uint32), lo[mine].astype(np.int64), count[mine].astype(np.int32), (z - a).astype(np.int32), body[K.ranges(a, z - a)])))
+            yield _rows(rows)
 
-    def meet(batches: Iterator[pa.RecordBatch]):
+    def meet(held: list[bytes]) -> list[tuple]:
         kept: list[list[np.ndarray]] = [[] for _ in range(7)]
-        types = (U64, U64, np.int64, np.int64, np.int32, np.int32, np.uint8)
-        for batch in batches:
-            own = pa.compute.is_valid(batch.column(1))
-            done = batch.filter(own)
-            if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2)], ["doc_id", "cover"])
-            rest = batch.filter(pa.compute.invert(own))
-            for i in range(7):
-                kept[i] += [np.frombuffer(x.as_buffer(), types[i]) for x in rest.column(i + 3)]
-        if not kept[0]:
-            return
+        for blob in held:
+            fp, same, table, idx, lo, count, size, body = unpack(blob, *types)
+            for k, v in zip(kept, (fp, same, table[idx], lo, count, size, body)):
+                k.append(v)
+        held.clear()
         whole = []
-        for x in kept:
-            whole.append(np.concatenate(x))
-            x.clear()
-        doc, lo, hi = judge(*whole)
-        del whole
-        ids, parts = covers(doc, lo, hi)
+        for k in kept:
+            whole.append(np.concatenate(k))
+            k.clear()
+        doc, lo, hi = _flat(*judge(*whole))
+        return _answers(doc, b, lo, hi)
+
+    def gather(held: list[bytes]):
+        parts = [unpack(x, np.int64, np.int64, np.int64) for x in held]
+        ids, pairs = covers(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
         for i in range(0, len(ids), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096], pa.int64()), K.blobs(parts[i : i + 4096])], ["doc_id", "cover"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096]), K.blobs(pairs[i : i + 4096])], ["doc_id", "cover"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    sent = with_blobs(own, told, "fps", "inner").mapInArrow(send, _SNIPPETS)
-    return sent.repartitionById(b, F.col("bucket")).mapInArrow(meet, "doc_id long, cover binary")
+    sent = with_blobs(own, told, "fps", "inner").mapInArrow(send, _PACKED)
+    return _routed(sent, b, meet, gather, "doc_id long, cover binary")
+
+
+def _flat(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches merged within each document."""
+    ids, pairs = covers(doc, lo, hi)
+    both = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+    return np.repeat(ids, [len(p) for p in pairs]), both[:, 0].copy(), both[:, 1].copy()
 
 
 def covered(docs: DataFrame, win: Windows, judge: Callable, name: str) -> DataFrame:
-    """docs (all rows) with ``told``: the blobs of covered stretches of each document, null where there is none."""
+    """docs (all rows) with ``told``: the covered stretches of each document as a blob, null where there is none."""
     spark = docs.sparkSession
     told = tables.materialise(repeated(docs, win), f"{name}-anchors")
     tables.release(spark)
@@ -296,8 +347,6 @@ def covered(docs: DataFrame, win: Windows, judge: Callable, name: str) -> DataFr
 
 
 def stretches(told) -> tuple[np.ndarray, np.ndarray]:
-    """Merged (from, to) of a row's blobs."""
-    if not told:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.concatenate([np.frombuffer(x, np.int64) for x in told]).reshape(-1, 2)
-    return merged(pairs[:, 0], pairs[:, 1])
+    """(from, to) of a row's merged stretches."""
+    pairs = np.frombuffer(told or b"", np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import anchors, kernels as K
 
-U64 = K.U64
 #: Bytes of one shard, and of what a bucket merges at once.
 SHARD, PART = 1 << 19, 1 << 22
 _STEP = 7
@@ -117,7 +116,7 @@ def judge(win: anchors.Windows):
     def run(fp, same, doc, lo, count, size, body):
         starts = np.cumsum(size, dtype=np.int64) - size
         parts = -(-len(body) // PART)
-        part = ((fp >> U64(40)) % U64(max(parts, 1))).astype(np.int32)
+        part = (fp % np.uint32(max(parts, 1))).astype(np.int32)
         order = np.argsort(part, kind="stable")
         at = np.searchsorted(part[order], np.arange(parts + 1))
         out = []
