@@ -124,11 +124,11 @@ def signed(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-_POSTINGS = "tok long, doc long, n long, pos long, sketch binary"
+_POSTINGS = "tok long, doc long, n long, pos long, nth int"
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """One row for each indexed shingle that another document indexes too."""
+    """One row for each indexed shingle that another document indexes too; ``nth`` counts those of a document."""
 
     def extract(batches):
         for b in batches:
@@ -137,19 +137,20 @@ def _postings(reps: DataFrame) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            tok, at, pos = [], [], []
-            for i, (p, told) in enumerate(zip(b.column(2), b.column(4).to_pylist())):
+            tok, at, pos, nth = [], [], [], []
+            for i, (p, told) in enumerate(zip(b.column(2), b.column(3))):
                 p = np.frombuffer(p.as_buffer(), U64)
-                k = np.flatnonzero(np.isin(p, np.concatenate([np.frombuffer(x, U64) for x in told])))
+                k = np.flatnonzero(_member(np.frombuffer(told.as_buffer(), U64), p & anchors._FP))
                 tok.append(p[k])
                 pos.append(k)
+                nth.append(np.arange(len(k), dtype=np.int32))
                 at.append(np.full(len(k), i))
             if tok:
                 at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(pos)), b.column(3).take(at)], ["tok", "doc", "n", "pos", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(pos)), pa.array(np.concatenate(nth))], ["tok", "doc", "n", "pos", "nth"])
 
     shared = anchors.meeting(reps.select("doc_id", "prefix"), extract, inside=False)
-    return anchors.with_blobs(reps.select("doc_id", "n", "prefix", "sketch"), shared, "fps", "inner").mapInArrow(rows, _POSTINGS)
+    return anchors.with_blobs(reps.select("doc_id", "n", "prefix"), shared, "fps", "inner").mapInArrow(rows, _POSTINGS)
 
 
 def _fold(words: list[np.ndarray], bits: int) -> np.ndarray:
@@ -163,7 +164,7 @@ def _fold(words: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _pairs(lists: DataFrame, cfg: JaccardConfig, every: bool) -> DataFrame:
-    """(a, b) with a < b: pairs within reach of each other that the sketches don't rule out.
+    """(a, b, apart) with a < b: pairs within reach of each other that the sketches don't rule out, and by how many bits the sketches differ.
 
     ``lists`` has key (rows of equal key meet), doc, n, pos, sketch and grp, side:
     pairs of equal grp are skipped, side 0 meets side 0 and 1, side 1 meets side 0 only.
@@ -213,8 +214,9 @@ def _pairs(lists: DataFrame, cfg: JaccardConfig, every: bool) -> DataFrame:
                     m = np.flatnonzero(bits[lo : lo + (1 << 16)] == w) + lo
                     if len(m):
                         apart = np.bitwise_count(table[at[of[i[m]]]] ^ table[at[of[j[m]]]]).sum(1)
-                        m = m[apart <= n[i[m]] + n[j[m]] - 2 * must[m]]
-                        found.append(np.stack([np.minimum(doc[i[m]], doc[j[m]]), np.maximum(doc[i[m]], doc[j[m]])], 1))
+                        ok = apart <= n[i[m]] + n[j[m]] - 2 * must[m]
+                        m, apart = m[ok], apart[ok].astype(np.int64)
+                        found.append(np.stack([np.minimum(doc[i[m]], doc[j[m]]), np.maximum(doc[i[m]], doc[j[m]]), apart], 1))
 
         rows = np.arange(len(key))
         if every:
@@ -232,9 +234,16 @@ def _pairs(lists: DataFrame, cfg: JaccardConfig, every: bool) -> DataFrame:
             look(start[far], far)
         if found:
             p = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, i].copy()) for i in range(3)], ["a", "b", "apart"])
 
-    return lists.repartition(parts, "key").mapInArrow(run, "a long, b long").distinct()
+    return lists.repartition(parts, "key").mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): each document with the partner whose sketch differs least."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("d"), F.col("apart"), F.col("b").alias("o")), F.struct(F.col("b").alias("d"), F.col("apart"), F.col("a").alias("o")))).alias("e"))
+    best = ends.groupBy("e.d").agg(F.min(F.struct("e.apart", "e.o")).alias("m"))
+    return best.select(F.least("d", "m.o").alias("a"), F.greatest("d", "m.o").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -247,6 +256,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, cfg: JaccardConfig) -> DataFram
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     own = tables.materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, h array<bigint>"), "op8-sets")
+    tables.release(docs.sparkSession)
     a, b = own.select(F.col("id").alias("a"), F.col("h").alias("ha")), own.select(F.col("id").alias("b"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     linked = pairs.join(a, "a").join(b, "b").where((100 + cfg.percent) * both >= cfg.percent * (F.size("ha") + F.size("hb"))).select("a", "b")
@@ -279,30 +289,35 @@ def _across(lists: DataFrame, cfg: JaccardConfig) -> DataFrame:
             F.transform(F.sequence(F.lit(0).cast("long"), nb - 1), lambda x: F.struct(h.alias("x"), (-1 - x).alias("y"))),
         )
     )
-    return rows.select("*", side.alias("side"), F.explode(mine).alias("at")).withColumn("key", F.xxhash64("tok", "at.x", "at.y")).select("key", "doc", "n", "pos", "sketch", "grp", "side")
+    return rows.select("*", side.alias("side"), F.explode(mine).alias("at")).withColumn("key", F.xxhash64("tok", "at.x", "at.y")).select("key", "doc", "n", "pos", "grp", "side")
 
 
 def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = tables.materialise(signed(own, cfg), "op8-sets")
+    sets = tables.materialise(signed(own, cfg), "op8-signed")
     same = tables.materialise(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "op8-classes")
     member = tables.materialise(sets.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "op8-members")
     copies = member.where("doc_id != rep").select("doc_id")
-    reps = sets.where("n > 0 AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    reps = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "prefix").join(copies, "doc_id", "left_anti")
     lists = tables.materialise(_postings(reps), "op8-lists")
+    sketches = tables.materialise(sets.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch").join(lists.select("doc").distinct(), "doc", "left_semi"), "op8-sketches")
     tables.drop_tables(spark, sets, same)
     tables.release(spark)
-    size = tables.materialise(lists.groupBy("tok").agg(F.count("*").alias("rows")).where(F.col("rows") > cfg.block), "op8-lists")
-    first = _blocked(lists, size, cfg).select("key", "doc", "n", "pos", "sketch", F.col("doc").alias("grp"), F.lit(0).alias("side"))
-    near = tables.materialise(_pairs(first, cfg, every=False), "op8-pairs")
+    # first round: a document's two rarest shared shingles, one partner each
+    few = lists.where("nth < 2")
+    size = few.groupBy("tok").agg(F.count("*").alias("rows"))
+    first = _blocked(few, size, cfg).select("key", "doc", "n", "pos", F.col("doc").alias("grp"), F.lit(0).alias("side")).join(sketches, ["doc", "n"])
+    near = tables.materialise(_nearest(_pairs(first, cfg, every=False)), "op8-pairs")
+    tables.release(spark)
     links = _verified(own, near, cfg)
     groups = tables.materialise(connected_components(links), "op8-groups")
-    grouped = tables.materialise(lists.join(groups, F.col("doc") == F.col("id"), "left").select("tok", "doc", "n", "pos", "sketch", F.coalesce("component", "doc").alias("grp")), "op8-lists")
-    tables.drop_tables(spark, lists, size)
-    rest = tables.materialise(_pairs(_across(grouped, cfg), cfg, every=True).join(near, ["a", "b"], "left_anti"), "op8-pairs")
-    tables.drop_tables(spark, grouped)
+    grouped = tables.materialise(lists.join(groups, F.col("doc") == F.col("id"), "left").select("tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("grp")), "op8-lists")
+    tables.drop_tables(spark, lists)
+    # second round: every pair of different groups that shares a list
+    rest = tables.materialise(_pairs(_across(grouped, cfg).join(sketches, ["doc", "n"]), cfg, every=True).select("a", "b").join(near, ["a", "b"], "left_anti"), "op8-pairs")
+    tables.drop_tables(spark, grouped, sketches)
     tables.release(spark)
     if not rest.isEmpty():
         links = links.unionByName(_verified(own, rest, cfg))
