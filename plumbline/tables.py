@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
