@@ -1,8 +1,10 @@
 """Token ids of whole texts by an existing tokenizer of the tokenizers library, each distinct word encoded once.
 
-The tokenizer of ``word_bpe_49k.json`` drops white space and merges within
-words, so the ids of a text are those of its white-space separated pieces in
-order. A task keeps the pieces it has met by a 64-bit hash, with their ids in
+The tokenizer of ``word_bpe_49k.json`` lower-cases, drops white space and merges
+within runs of letters or of marks, so the ids of a text are those of its pieces
+in order, where pieces end at white space and between an ASCII letter or digit
+and an ASCII mark (not at apostrophes, which make contractions, nor at < | >,
+which special tokens hold). A task keeps the pieces it has met by a 64-bit hash, with their ids in
 one flat array, and starts anew when ``LIMIT`` pieces are held, so its memory is bounded.
 """
 
@@ -26,6 +28,26 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lower_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, offsets by document) of pieces, A-Z lower-cased unless a special token might be spelled."""
+    s, e, _ = K.word_spans(data, off)
+    if not ((data[:-1] == 60) & (data[1:] == 124)).any():
+        data = _LOWER[data]
+    mark, alnum = _MARK[data], _ALNUM[data]
+    cut = np.flatnonzero((mark[:-1] & alnum[1:]) | (alnum[:-1] & mark[1:])) + 1
+    # a cut at a document's edge is a word's start already
+    cut = cut[~np.isin(cut, off, assume_unique=False)] if len(cut) else cut
+    s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+    return data, s, e, np.searchsorted(s, off)
+
+
 class PieceEncoder:
     """``encode(pieces) -> list of id lists`` made to work on chunks; holds what it has met."""
 
@@ -64,7 +86,7 @@ class PieceEncoder:
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by document) of a chunk of texts."""
-        s, e, ptr = K.word_spans(data, off)
+        data, s, e, ptr = lower_pieces(data, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         slot = self.slots(data, s, e)
