@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from plumbline.functions.text import let
+
 
 def run_lengths(ordered: Column) -> Column:
     """Counts of equal neighbours in a sorted array."""
-    n = F.size(ordered)
-    # the last place past the end compares with null and so is always an edge
-    edges = F.when(n > 0, F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.zip_with(edges, F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1))), lambda a, b: b - a), lambda x: x.isNotNull())
+
+    def edges(a: Column) -> Column:
+        n = F.size(a)
+        # the last place past the end compares with null and so is always an edge
+        return F.when(n > 0, F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | F.coalesce(F.get(a, i) != F.get(a, i - 1), F.lit(True)))).otherwise(F.array().cast("array<int>"))
+
+    def gaps(e: Column) -> Column:
+        return F.transform(F.slice(e, 2, F.greatest(F.size(e), F.lit(1))), lambda x, i: x - F.get(e, i))
+
+    return let(let(ordered, edges), gaps)
 
 
 def total(a: Column, kind: str = "double") -> Column:

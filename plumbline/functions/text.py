@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as C
@@ -14,6 +16,11 @@ def bind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("__b")).select("*", "__b.*").drop("__b")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row: a lambda's variable can't be inlined."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -58,21 +65,34 @@ def paragraphs(c: Column, min_words: int, pattern: str = r"\n\n+") -> Column:
 
 def segments(w: Column, size: int) -> Column:
     """Tumbling runs of ``size`` words; a rest of at least half the size counts."""
-    n = F.size(w)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")), lambda s: n_words(s) >= size // 2)
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")), lambda s: n_words(s) >= size // 2)
+
+    return let(w, cut)
 
 
 def ngrams(w: Column, n: int) -> Column:
     """n consecutive words joined by a space, repeats kept."""
-    last = F.size(w) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+    return let(w, cut)
 
 
 def char_ngrams(c: Column, n: int) -> Column:
     """All substrings of n characters of the lower-cased text with white space squeezed to a space."""
-    t = F.regexp_replace(F.lower(c), r"\s+", " ")
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def cut(chars: Column) -> Column:
+        # an array of characters: a substring of UTF-8 is found by scanning from the start
+        last = F.size(chars) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(F.regexp_replace(F.lower(c), r"\s+", " "), ""), cut)
 
 
 def count_of(c: Column, part: str) -> Column:
@@ -100,8 +120,11 @@ def is_nominal(w: Column) -> Column:
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Of two arrays without repeats; ``empty`` where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(empty)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+    def of(p: Column) -> Column:
+        return F.when((p["a"] == 0) & (p["b"] == 0), F.lit(empty)).otherwise(p["both"] / (p["a"] + p["b"] - p["both"]))
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both"))), of)
 
 
 def title_similarity(a: Column, b: Column) -> Column:

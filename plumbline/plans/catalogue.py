@@ -26,7 +26,9 @@ def query(fn: Callable) -> Callable:
     """Registers a query under its name, and its SQL if there is any."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(lambda name: attach(spark).read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+        df = fn(lambda name: attach(spark).read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+        # one integer type for all results
+        return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if kind == "int" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
     QUERIES[fn.__name__] = run
     if fn.__name__ in SQL:
