@@ -269,7 +269,7 @@ SQL["benchmark_paragraph_matches"] = f"WITH {_MATCH} SELECT l.d AS doc_id, l.i A
 _KNN = "knn AS (SELECT q.vec_id AS q, c.vec_id AS c, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM knn)"
 SQL["knn_top5"] = f"WITH {_KNN} SELECT q, c, round(s, 9) AS score, rank FROM ranked WHERE rank <= 5"
 SQL["knn_threshold"] = f"WITH {_KNN} SELECT q, c, round(s, 9) AS score FROM ranked WHERE rank = 1 AND s >= 0.30"
-SQL["semantic_compare"] = f"WITH {_KNN} SELECT label, round(max(s), 9) AS max_cosine, round(avg(s), 9) AS mean_best FROM ranked JOIN embeddings ON vec_id = q WHERE rank = 1 GROUP BY label"
+SQL["semantic_compare"] = f"WITH {_KNN} SELECT label::BIGINT AS label, round(max(s), 9) AS max_cosine, round(avg(s), 9) AS mean_best FROM ranked JOIN embeddings ON vec_id = q WHERE rank = 1 GROUP BY label"
 
 # ---- cohorts (documents without headings: the section score is 0 where either side has none)
 _BATCH = rf"""{_RARE}, bw AS (SELECT doc_id, {words(r"regexp_replace(lower(text), '[^a-z\s]', '', 'g')")} AS k FROM documents), bs AS (SELECT DISTINCT doc_id, unnest({ngrams('k', 3)}) AS s FROM bw),
@@ -306,13 +306,13 @@ def _values(rows: list[tuple], names: str) -> str:
 def _fixture_sql() -> None:
     from plumbline.plans import fixtures as X
 
-    raw = _values([(d, i, r) for d, i, r, *_ in X._REFS], "doc_id, ref_idx, raw")
+    raw = "(SELECT doc_id::BIGINT AS doc_id, ref_idx::BIGINT AS ref_idx, raw FROM " + _values([(d, i, r) for d, i, r, *_ in X._REFS], "doc_id, ref_idx, raw") + ") AS refs"
     rules = [(p, f"name:{i}") for i, p in enumerate(C.PREDATORY_NAMES)] + [(p, f"publisher:{i + len(C.PREDATORY_NAMES)}") for i, p in enumerate(C.PREDATORY_PUBLISHERS)]
     case = "CASE " + " ".join(f"WHEN regexp_matches(raw, '(?i){p}') THEN '{n}'" for p, n in rules) + " END"
     SQL["predatory_refs"] = f"SELECT doc_id, ref_idx, {case} AS reason FROM {raw} WHERE {case} IS NOT NULL"
     venue = f"substring(trim(coalesce(nullif(regexp_extract(raw, '{C.VENUES[0]}', 0), ''), nullif(regexp_extract(raw, '{C.VENUES[1]}', 0), ''))), 1, 80)"
-    SQL["venue_hhi"] = f"SELECT doc_id, sum(c * c) / (sum(c) * sum(c)) AS hhi FROM (SELECT doc_id, {venue} AS venue, count(*) AS c FROM {raw} GROUP BY ALL HAVING venue IS NOT NULL) GROUP BY doc_id"
-    SQL["year_cluster"] = rf"SELECT doc_id, year, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, year) AS r FROM (SELECT doc_id, nullif(regexp_extract(raw, '\b(19[89]\d|20[012]\d)\b', 0), '')::BIGINT AS year, count(*) AS n FROM {raw} GROUP BY ALL HAVING year IS NOT NULL)) WHERE r = 1"
+    SQL["venue_hhi"] = f"SELECT doc_id, sum(c * c) / (sum(c) * sum(c)) AS hhi FROM (SELECT doc_id, venue, count(*) AS c FROM (SELECT doc_id, {venue} AS venue FROM {raw}) WHERE venue IS NOT NULL GROUP BY doc_id, venue) GROUP BY doc_id"
+    SQL["year_cluster"] = rf"SELECT doc_id, year, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, year) AS r FROM (SELECT doc_id, year, count(*) AS n FROM (SELECT doc_id, nullif(regexp_extract(raw, '\b(19[89]\d|20[012]\d)\b', 0), '')::BIGINT AS year FROM {raw}) WHERE year IS NOT NULL GROUP BY doc_id, year)) WHERE r = 1"
     names = list(X._CASE)
     cases = _values([(i, *(X._CASE | c).values()) for i, c in enumerate(X._CASES)], "k, " + ", ".join(names))
     level = """CASE WHEN plagiarism > 0.70 OR hallucinated > 0 OR recycling_risk = 'CRITICAL' THEN 3 WHEN plagiarism > 0.40 OR ai > 0.70 OR recycling_risk = 'HIGH' OR citation > 0.30 OR network_risk = 'HIGH' OR coherence > 0.75 THEN 2
