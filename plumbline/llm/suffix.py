@@ -165,7 +165,7 @@ def _part(win, same, doc, lo, count, size, starts, body) -> list:
 
 
 def windows(size: int = 50) -> anchors.Windows:
-    return anchors.Windows(words=False, size=size, k=max(1, size - 26), inside=False)
+    return anchors.Windows(words=False, size=size, k=max(1, size - 30), inside=False)
 
 
 def find(docs: DataFrame, size: int = 50) -> DataFrame:
