@@ -287,7 +287,8 @@ CASE WHEN submissions < 2 THEN 'LOW' WHEN pairs >= 5 OR (high_ai >= 3 AND cluste
 concat_ws(';', CASE WHEN pairs >= 5 THEN 'suspicious_pairs' END, CASE WHEN high_ai >= 3 THEN 'high_ai_cluster' END, CASE WHEN clusters > 0 THEN 'clusters' END) AS flags FROM one"""
 
 # ---- reports
-SQL["overall_risk"] = f"""WITH {_PARA}, {_COH}, {_RECSUM}, {_MATCH}, sty AS ({SQL['style_consistency']}),
+_WHOLE = _PARA.replace(lines("text", 40), rf"list_filter(list_transform(string_split_regex(text, '\n\n+'), lambda x: {strip('x')}), lambda x: len({words('x')}) >= 40)")
+SQL["overall_risk"] = f"""WITH {_WHOLE}, {_COH}, {_RECSUM}, {_MATCH}, sty AS ({SQL['style_consistency']}),
 top AS (SELECT l.d AS doc_id, max(j) AS j FROM match GROUP BY ALL),
 base AS (SELECT d.doc_id, coalesce(least(top.j * 2.0, 1.0), 0) AS plagiarism, ai.ai_score AS ai, 1.0 - sty.consistency_score AS style, coh.e AS coherence, {_RISK.replace('pct', 'rec.pct').replace(' v >', ' rec.v >')} AS recycling_risk
  FROM documents d LEFT JOIN top USING (doc_id) JOIN ai USING (doc_id) JOIN sty USING (doc_id) JOIN coh USING (doc_id) JOIN rec USING (doc_id))

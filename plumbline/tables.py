@@ -43,9 +43,10 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)
+    for _ in range(2):  # what the first round frees in Python is garbage in the JVM for the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions(spark: SparkSession) -> int:
