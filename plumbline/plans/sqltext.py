@@ -185,7 +185,7 @@ SQL["lm_perplexity"] = f"""WITH pairs AS (SELECT g.x AS x, g.y AS y, count(*) AS
 heads AS (SELECT x, sum(c) AS t FROM pairs GROUP BY x), vocab AS (SELECT count(DISTINCT w) AS v FROM (SELECT x AS w FROM pairs UNION ALL SELECT y FROM pairs)),
 asked AS (SELECT doc_id, g.x AS x, g.y AS y, count(*) AS m FROM ({_BI.format(key='doc_id,', where='')}) GROUP BY ALL),
 nll AS (SELECT doc_id, sum(m)::BIGINT AS n, sum(-ln((coalesce(c, 0) + 1) / (coalesce(t, 0) + v)) * m) AS s FROM asked LEFT JOIN pairs USING (x, y) LEFT JOIN heads USING (x), vocab GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n, round(coalesce(least(exp(s / n), 22026.0), 100.0), 3) AS perplexity FROM documents d LEFT JOIN nll USING (doc_id)"""
+SELECT d.doc_id, coalesce(n, 0) AS n, round(CASE WHEN n > 0 THEN least(exp(s / n), 22026.0) ELSE 100.0 END, 3) AS perplexity FROM documents d LEFT JOIN nll USING (doc_id)"""
 
 # ---- coherence
 def _cv(c: str) -> str:
@@ -290,7 +290,7 @@ concat_ws(';', CASE WHEN pairs >= 5 THEN 'suspicious_pairs' END, CASE WHEN high_
 _WHOLE = _PARA.replace(lines("text", 40), rf"list_filter(list_transform(string_split_regex(text, '\n\n+'), lambda x: {strip('x')}), lambda x: len({words('x')}) >= 40)")
 SQL["overall_risk"] = f"""WITH {_WHOLE}, {_COH}, {_RECSUM}, {_MATCH}, sty AS ({SQL['style_consistency']}),
 top AS (SELECT l.d AS doc_id, max(j) AS j FROM match GROUP BY ALL),
-base AS (SELECT d.doc_id, coalesce(least(top.j * 2.0, 1.0), 0) AS plagiarism, ai.ai_score AS ai, 1.0 - sty.consistency_score AS style, coh.e AS coherence, {_RISK.replace('pct', 'rec.pct').replace(' v >', ' rec.v >')} AS recycling_risk
+base AS (SELECT d.doc_id, coalesce(CASE WHEN top.j * 2.0 > 1.0 THEN 1.0::DOUBLE ELSE top.j * 2.0 END, 0) AS plagiarism, ai.ai_score AS ai, 1.0 - sty.consistency_score AS style, coh.e AS coherence, {_RISK.replace('pct', 'rec.pct').replace(' v >', ' rec.v >')} AS recycling_risk
  FROM documents d LEFT JOIN top USING (doc_id) JOIN ai USING (doc_id) JOIN sty USING (doc_id) JOIN coh USING (doc_id) JOIN rec USING (doc_id))
 SELECT doc_id, round(plagiarism, 6) AS plagiarism, round(ai, 6) AS ai, round(style, 6) AS style, round(coherence, 6) AS coherence, recycling_risk,
 CASE WHEN plagiarism > 0.70 OR recycling_risk = 'CRITICAL' THEN 'CRITICAL' WHEN plagiarism > 0.40 OR ai > 0.70 OR recycling_risk = 'HIGH' OR coherence > 0.75 THEN 'HIGH'
@@ -320,7 +320,7 @@ def _fixture_sql() -> None:
 WHEN plagiarism > 0.20 OR ai > 0.50 OR recycling_risk = 'MEDIUM' OR citation > 0.10 OR style > 0.30 OR network_risk = 'MEDIUM' OR coherence > 0.50 THEN 1 ELSE 0 END"""
     SQL["risk_rules"] = f'SELECT k::BIGINT AS "case", [\'LOW\', \'MEDIUM\', \'HIGH\', \'CRITICAL\'][1 + least(3, {level} + verified_watermark::INT)] AS risk FROM {cases}'
     scores = _values([(0, None, None), (1, 0.3, None), (2, 0.9, None), (3, None, 0.9), (4, 0.3, 0.95), (5, 0.25, 0.85)], "k, j, c")
-    SQL["plagiarism_score"] = f'SELECT k::BIGINT AS "case", round(coalesce((least(j::DOUBLE * 2, 1) + least((c::DOUBLE - 0.80) / 0.20, 1)) / 2, least(j::DOUBLE * 2, 1), least((c::DOUBLE - 0.80) / 0.20, 1), 0), 6) AS score FROM {scores}'
+    SQL["plagiarism_score"] = f'SELECT k::BIGINT AS "case", round(coalesce((a + b) / 2, a, b, 0), 6) AS score FROM (SELECT k, CASE WHEN j * 2 > 1 THEN 1.0::DOUBLE ELSE j::DOUBLE * 2 END AS a, CASE WHEN c > 1 THEN 1.0::DOUBLE ELSE (c::DOUBLE - 0.80) / 0.20 END AS b FROM {scores})'
 
 
 _fixture_sql()

@@ -102,6 +102,11 @@ def test_scan_and_docx(spark, tmp_path):
     assert r["bad"].error and r["x"].error and r["a"].error is None
 
 
+def test_plagiarism_score(spark):
+    got = [r.s for r in fixtures.score_cases(spark).select(report.plagiarism_score(F.col("j"), F.col("c")).alias("s")).collect()]
+    assert [round(x, 9) for x in got] == [0.0, 0.6, 1.0, 0.5, 0.675, 0.375]
+
+
 def test_report(spark):
     docs = spark.createDataFrame([(1, A, "en", ["x"]), (2, B, "en", []), (3, "", "zz", []), (4, None, None, None)], "doc_id LONG, text STRING, lang STRING, authors ARRAY<STRING>")
     prior = spark.createDataFrame([("old", A)], "label STRING, text STRING")
