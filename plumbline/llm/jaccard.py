@@ -173,9 +173,10 @@ def _pairs(lists: DataFrame, cfg: JaccardConfig, every: bool) -> DataFrame:
     parts = tables.partitions(lists.sparkSession)
 
     def run(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not len(got):
+        held = list(batches)
+        if not sum(map(len, held)):
             return
+        got = pa.Table.from_batches(held)
         key, doc, n, pos, grp, side = (got.column(c).to_numpy() for c in ("key", "doc", "n", "pos", "grp", "side"))
         order = np.lexsort((pos, doc, n, key))
         key, doc, n, pos, grp, side = (x[order] for x in (key, doc, n, pos, grp, side))
