@@ -31,9 +31,9 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates."""
+    """Keeps the document of smallest id of each group of near-duplicates: five-word shingles, Jaccard of 0.8 or more."""
     attach(spark)
-    keep = jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = jaccard.components(docs, jaccard.JaccardConfig(shingle=5, percent=80)).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi")
 
 

@@ -27,3 +27,14 @@ def test_semantic_compare_takes_every_row(spark, tmp_path):
     small = S.compare_groups(df.select(df.vec_id.alias("id"), "label", df.embedding.alias("v")), block=16)
     assert all(np.allclose((r.max_cosine, r.mean_cosine), want[r.label], atol=1e-9) for r in small.collect())
     assert S.compare_groups(df.where("false").select(df.vec_id.alias("id"), "label", df.embedding.alias("v"))).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_eighty_percent(spark):
+    import corpus_pipeline
+
+    a = [f"w{i}" for i in range(100)]
+    b, c = list(a), list(a)
+    b[30] = b[60] = "other"  # five-word Jaccard 86 / 106
+    c[20] = c[40] = c[60] = "else"  # 81 / 111
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((a, b, c))], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
