@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from plumbline import tables
 from plumbline.functions import constants as C, stats, text as T
 from plumbline.operators import ai, batch, citations, coherence, recycling, similarity as S, style, watermark
 from plumbline.operators.graph import connected_components
@@ -332,24 +333,28 @@ def benchmark_paragraph_matches(t, spark):
 
 @query
 def document_compare(t, spark):
-    """Each source's first two documents (by id) compared directly: 0.6 word + 0.4 character Jaccard."""
-    a, b = _first_two(t("documents"))
-    both = T.bind(a.join(b, "pair"), w=T.jaccard(S.word_set(F.col("ta")), S.word_set(F.col("tb"))), c=T.jaccard(S.char_set(F.col("ta")), S.char_set(F.col("tb"))))
-    return both.select(F.col("pair").alias("source"), F.col("w").alias("word_jaccard"), F.col("c").alias("char_jaccard"), F.round(0.6 * F.col("w") + 0.4 * F.col("c"), 6).alias("combined"), (F.col("w") >= 0.25).alias("flagged"))
+    """Pairs of documents of a source compared directly: 0.6 word + 0.4 character Jaccard. For the pairs see ``_pairs``."""
+    a, b = _pairs(t("documents"))
+    both = T.bind(a.join(b.select("pair", F.col("text").alias("tb")), "pair"), w=T.jaccard(S.word_set(F.col("text")), S.word_set(F.col("tb"))), c=T.jaccard(S.char_set(F.col("text")), S.char_set(F.col("tb"))))
+    return both.select("pair.source", "pair.a", "pair.b", F.col("w").alias("word_jaccard"), F.col("c").alias("char_jaccard"), F.round(0.6 * F.col("w") + 0.4 * F.col("c"), 6).alias("combined"), (F.col("w") >= 0.25).alias("flagged"))
 
 
-def _first_two(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ids = docs.groupBy(F.col("source").alias("pair")).agg(F.min("doc_id").alias("i"))
-    second = docs.join(ids, F.col("source") == F.col("pair")).where("doc_id > i").groupBy("pair").agg(F.min("doc_id").alias("j"))
-    a = docs.join(ids, F.col("doc_id") == F.col("i")).select("pair", F.col("text").alias("ta"))
-    b = docs.join(second, F.col("doc_id") == F.col("j")).select("pair", F.col("text").alias("tb"))
-    return a, b
+def _pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pair, text) of either side; pair has source, a and b, a < b: each document with the next of its source, and all pairs of a source with word Jaccard of 0.25 or more."""
+    ahead = docs.select("source", F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("b")).where("b IS NOT NULL")
+    # the source is hashed into the shingles: sets of different sources have none in common
+    own = _word_sets(docs.where("source IS NOT NULL")).join(docs.select("doc_id", "source"), "doc_id")
+    own = own.select("doc_id", F.transform("s", lambda h: F.xxhash64(h, F.col("source"))).alias("s"))
+    near = S.pairs_within(own, "doc_id", "s", 0.25).join(docs.select(F.col("doc_id").alias("a"), "source"), "a").select("source", "a", "b")
+    pairs = tables.materialise(ahead.unionByName(near).distinct(), "document-pairs").select(F.struct("source", "a", "b").alias("pair"))
+    side = lambda k: pairs.join(docs.select(F.col("doc_id").alias("__id"), "text"), F.col(f"pair.{k}") == F.col("__id")).select("pair", "text")
+    return side("a"), side("b")
 
 
 @query
 def compare_documents(t, spark):
-    a, b = _first_two(t("documents"))
-    return recycling.compare(a.select("pair", F.col("ta").alias("text")), b.select("pair", F.col("tb").alias("text"))).withColumnRenamed("pair", "source")
+    a, b = _pairs(t("documents"))
+    return recycling.compare(a, b).select("pair.source", "pair.a", "pair.b", "sentences", "flagged", "verbatim", "overlap_pct", "risk")
 
 
 def _prior(t) -> DataFrame:

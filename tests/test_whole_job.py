@@ -38,3 +38,14 @@ def test_pipeline_drops_near_copies_of_eighty_percent(spark):
     c[20] = c[40] = c[60] = "else"  # 81 / 111
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((a, b, c))], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_document_pairs_cover_every_document(spark, tmp_path):
+    text = lambda k: " ".join(f"{'abcdefgh'[k]}{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(40)) + "."
+    rows = [(1, text(0), "x"), (2, text(1), "x"), (3, text(2), "x"), (4, text(3), "x"), (5, text(2) + " More was said.", "x"), (6, text(1), "x"), (7, text(2), "y"), (8, text(4), "y")]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    d = {(r.a, r.b): r for r in catalogue.QUERIES["document_compare"](spark, str(tmp_path)).collect()}
+    assert set(d) == {(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (7, 8), (3, 5), (2, 6)}
+    assert {k for k, r in d.items() if r.flagged} == {(3, 5), (2, 6)} and d[2, 6].combined == 1.0 and d[7, 8].source == "y"
+    c = {(r.a, r.b): r for r in catalogue.QUERIES["compare_documents"](spark, str(tmp_path)).collect()}
+    assert set(c) == set(d) and {k for k, r in c.items() if r.flagged} == {(3, 5), (2, 6)} and c[3, 5].risk == "CRITICAL"
