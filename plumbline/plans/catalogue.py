@@ -291,8 +291,8 @@ def token_screen(t, spark):
 
 @query
 def greenlist_compat(t, spark):
-    """Seeded shuffles draw lists of 50,257 ids, so this runs over the (few) benchmark items."""
-    return watermark.greenlist_compat(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    """Seeded shuffles draw a list of 50,257 ids for each distinct token that another follows, about once."""
+    return watermark.greenlist_compat(t("documents"))
 
 
 # ---- similarity -------------------------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Queries over every row of their tables, against brute force."""
 
+import hashlib
+
 import numpy as np
 
-from plumbline.operators import similarity as S
+from plumbline.operators import similarity as S, watermark
 from plumbline.plans import catalogue
 
 
@@ -49,3 +51,12 @@ def test_document_pairs_cover_every_document(spark, tmp_path):
     assert {k for k, r in d.items() if r.flagged} == {(3, 5), (2, 6)} and d[2, 6].combined == 1.0 and d[7, 8].source == "y"
     c = {(r.a, r.b): r for r in catalogue.QUERIES["compare_documents"](spark, str(tmp_path)).collect()}
     assert set(c) == set(d) and {k for k, r in c.items() if r.flagged} == {(3, 5), (2, 6)} and c[3, 5].risk == "CRITICAL"
+
+
+def test_greenlist_compat_covers_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta alpha beta alpha"), (2, "gamma delta"), (3, "one")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(77, "alpha beta")], "item_id LONG, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    i = {w: int(hashlib.md5(w.encode()).hexdigest(), 16) % 50257 for w in ("alpha", "beta", "gamma", "delta")}
+    green = lambda a, b: i[b] in watermark._green_list(i[a], 50257, 0.25)
+    got = {r.doc_id: r.green for r in catalogue.QUERIES["greenlist_compat"](spark, str(tmp_path)).collect()}
+    assert got == {1: (green("alpha", "beta") + green("beta", "alpha")) / 2, 2: float(green("gamma", "delta"))}
