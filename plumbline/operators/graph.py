@@ -11,12 +11,12 @@ def _min_per_key(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from each id that occurs in an edge.
 
     Alternating star contraction: every round points all neighbours of a node
     at the least of them (first the larger neighbours, then the smaller), so
-    chains shrink by a factor each round. Minima are pre-aggregated and joined
+    chains shrink by a factor each round; rounds go on until nothing moves. Minima are pre-aggregated and joined
     back, so a node with very many links isn't gathered in a task. Self-loops and nulls are
     dropped; repeated edges are one edge.
     """
@@ -25,19 +25,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
+        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == (got.n, got.h):
+            break
+        mark = (got.n, got.h)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _min_per_key(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = tables.materialise(large, "edges")
         down = _min_per_key(large)
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        nxt = tables.materialise(small, "edges")
-        tables.drop_tables(spark, now, large)
+        small = large.join(down, "u").select("u", "v", "m")
+        # a node and its larger neighbours all point at the least
+        nxt = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        nxt = tables.materialise(nxt, "edges")
+        tables.drop_tables(spark, now)
         now = nxt
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (got.n, got.h):
-            break
-        mark = (got.n, got.h)
     # once nothing moves, every edge ends in its component's least id
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

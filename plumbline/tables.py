@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +37,18 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    for _ in range(2):  # what the first round frees in Python is garbage in the JVM for the second
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
+    """Lets Spark's cleaner drop the shuffle files of finished steps sooner; nothing waits for it or depends on it."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def buckets(df: DataFrame, each: int = 128 << 20) -> int:
+    """How many tasks an exchange of whole texts is dealt to: spark.sql.shuffle.partitions, more where the files read are larger than ``each`` bytes for each of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 60)  # relations without known size say more
+    return max(partitions(df.sparkSession), min(-(-size // each), 1 << 20))
