@@ -63,6 +63,24 @@ def spans(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Bytes from which a word is hashed by xxh3: a polynomial mod 2**64 has long words of equal hash, whatever its base.
+LONG = 24
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of the words [s, e) of a text; with ``fold`` A-Z count as a-z."""
+    h = spans(prefix((FOLDED if fold else BYTES)[data]), s, e)
+    long_ = np.flatnonzero(e - s > LONG)
+    if len(long_):
+        from xxhash import xxh3_64_intdigest
+
+        raw = (_LOWER[data] if fold else data).tobytes()
+        h[long_] = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(s[long_].tolist(), e[long_].tolist())), U64, len(long_))
+    return h
+
+
 def grams(sums: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all stretches of k values, by start."""
     n = len(sums) - 1 - k + 1
@@ -162,3 +180,70 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
 
 def blobs(values) -> pa.Array:
     return pa.array([v.tobytes() if isinstance(v, np.ndarray) else v for v in values], pa.binary())
+
+
+def differ(a: np.ndarray, a0: np.ndarray, b: np.ndarray, b0: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``size`` bytes of a from a0 and of b from b0 differ."""
+    out = np.zeros(len(size), bool)
+    wrong = a[ranges(a0, size)] != b[ranges(b0, size)]
+    if wrong.any():
+        out[np.unique(np.repeat(np.arange(len(size)), size)[wrong])] = True
+    return out
+
+
+class Vocabulary:
+    """Numbers for byte strings: found by hash, compared byte by byte, so equal numbers are equal strings."""
+
+    def __init__(self) -> None:
+        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.at, self.long, self.body = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        self.count = self.bytes = 0
+        self.odd: dict[bytes, int] = {}  # strings that share a hash with another one met before
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for x in (self.at, self.long, self.body):
+            if len(x) > 1:
+                x[:] = [np.concatenate(x)]
+        return self.at[0], self.long[0], self.body[0]
+
+    def _add(self, data: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        self.at.append(self.bytes + np.cumsum(n) - n)
+        self.long.append(n)
+        self.body.append(data[ranges(s, n)])
+        self.bytes += int(n.sum())
+        self.count += len(s)
+        return np.arange(self.count - len(s), self.count)
+
+    def numbers(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each span, for each new number the span that shows it first)."""
+        n = e - s
+        h = words(data, s, e) if hashes is None else hashes
+        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.empty(len(keys), np.int64)
+        out[known] = self.slot[at[known]]
+        fresh = np.flatnonzero(~known)
+        out[fresh] = self._add(data, s[first[fresh]], n[first[fresh]])
+        shown = [first[fresh]]
+        if len(fresh):
+            keys2, slot2 = np.concatenate([self.keys, keys[fresh]]), np.concatenate([self.slot, out[fresh]])
+            order = np.argsort(keys2, kind="stable")
+            self.keys, self.slot = keys2[order], slot2[order]
+        where, size, body = self._flat()
+        num = out[inverse]
+        bad = size[num] != n
+        # what is compared with the first of its hash here need not be compared with itself
+        ask = np.flatnonzero(~bad)
+        ask = ask[~np.isin(ask, first[fresh], assume_unique=True)] if len(fresh) else ask
+        bad[ask[differ(data, s[ask], body, where[num[ask]], n[ask])]] = True
+        if bad.any():
+            raw = data.tobytes()
+            for i in np.flatnonzero(bad).tolist():
+                key = raw[s[i] : e[i]]
+                if key not in self.odd:
+                    self.odd[key] = int(self._add(data, s[i : i + 1], n[i : i + 1])[0])
+                    shown.append(np.array([i]))
+                num[i] = self.odd[key]
+        return num, np.concatenate(shown)

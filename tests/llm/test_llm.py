@@ -45,8 +45,15 @@ def none(spark):
 
 
 def test_op3_brute_force(docs, none):
+    want = op3_expected(corpus())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+    assert substring.dedup(none).count() == 0
+
+
+def op3_expected(rows):
     seen, want = set(), {}
-    for i, t in sorted(corpus(), key=lambda x: x[0]):
+    for i, t in sorted(rows, key=lambda x: x[0]):
         w = re.findall(WS, t or "")
         gone = set()
         for p in range(len(w) - 19):
@@ -55,49 +62,137 @@ def test_op3_brute_force(docs, none):
                 gone.update(range(p, p + 20))
             seen.add(key)
         want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs).collect()}
-    assert got == want and sum(x[1] for x in want.values()) > 0
-    assert substring.dedup(none).count() == 0
-
-
-def test_op3_log_runs_are_compacted():
-    log, seen, rng = substring.FingerprintLog(), set(), np.random.default_rng(1)
+    return want
+
+
+def test_op3_two_batches_use_the_stored_runs(spark, docs, tmp_path):
+    folder, want = f"file://{tmp_path}/index", op3_expected(corpus())
+    first, second, third = docs.where("doc_id < 40"), docs.where("doc_id >= 40 AND doc_id < 105"), docs.where("doc_id >= 105")
+    get = lambda d, **k: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(d, folder=folder, **k).collect()}
+    got = get(first)
+    assert len(substring._meta(folder)["runs"]) == 1
+    with pytest.raises(ValueError):
+        substring.ingest(second, folder)
+    got |= get(second, history=first)
+    got |= get(third, history=first.unionByName(second))
+    assert got == want
+    # without the runs the second batch would keep what the first one has
+    alone = {r.doc_id: r.n_removed for r in substring.dedup(second).collect()}
+    assert any(alone[i] < want[i][1] for i in alone)
+    assert len(substring._meta(folder)["runs"]) < 3  # compacted
+
+
+def test_op3_log_verifies_and_compacts():
+    rng, seen = np.random.default_rng(1), set()
+    content = rng.integers(0, 3000, 30 * 500)
+    log = substring.FingerprintLog(lambda a, b: content[a] == content[b])
     for batch in range(30):
-        h = rng.integers(0, 3000, 500).astype(np.uint64)
-        got = log.ingest(h, h * np.uint64(7), np.full(500, batch), np.arange(500))
-        for x, g in zip(h.tolist(), got.tolist()):
+        place = np.arange(batch * 500, batch * 500 + 500)
+        got = log.ingest((content[place] % 700).astype(np.uint64), place, np.full(500, batch), place)  # every hash is shared by several contents
+        for x, g in zip(content[place].tolist(), got.tolist()):
             assert g == (x in seen)
             seen.add(x)
-    assert len(log.runs) < 8 and sum(len(a) for a, _ in log.runs) == len(seen)
-    again = substring.FingerprintLog.load(log.dump())
-    assert again.probe(np.array(sorted(seen), np.uint64), np.array(sorted(seen), np.uint64) * np.uint64(7)).all()
+    assert len(log.runs) < 12 and sum(len(a) for a, _ in log.runs) == len(seen)
 
 
-def test_op5_brute_force(docs, none):
+def thue_morse(n=2048):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_contents_decide_not_hashes(spark):
+    """Two words of equal polynomial hash mod 2**64, whatever the base."""
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse()
+    pad = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{pad} {x} {pad[::-1]}"), (2, f"{pad} {y} {pad[::-1]}"), (3, x), (4, y), (5, f"{x} {y}"), (6, f"{pad} {x} {pad[::-1]}")]
+    d = spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(d).collect()}
+    assert got == op3_expected(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(d).collect()}
+    assert got == op5_expected(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.components(d).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}  # 1 and 2 share 74 of 82 shingles, 3 and 4 none
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in bpe.digest(d).collect()}
+    assert got == {i: (hashlib.sha256(",".join(map(str, lib.encode_ordinary(t))).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    tok = Tokenizer.from_file(tokens.default_path())
+    got = {r.doc_id: r.ids_crc32 for r in tokenfiles.digest(d).collect()}
+    assert got == {i: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
+
+
+def test_vocabulary_with_equal_hashes():
+    known, words = K.Vocabulary(), [b"aa", b"b", b"aa", b"cc", b"b", b"ddd"]
+    data, n = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    s = np.cumsum(n) - n
+    for _ in range(2):
+        num, new = known.numbers(data, s, s + n, hashes=np.zeros(len(n), np.uint64))
+        assert [num.tolist().index(v) for v in num.tolist()] == [words.index(w) for w in words]
+    assert not len(new) and known.count == 4
+
+
+def op5_expected(rows):
     seen, want = set(), {}
-    for i, t in sorted(corpus(), key=lambda x: x[0]):
+    for i, t in sorted(rows, key=lambda x: x[0]):
         b = (t or "").encode()
-        mark = bytearray(len(b))
-        own = set()
+        mark, own = bytearray(len(b)), set()
         for p in range(len(b) - 49):
             key = b[p : p + 50]
             if key in seen:
                 mark[p : p + 50] = b"\1" * 50
             own.add(key)
         seen |= own
-        runs = len(re.findall(b"\1+", bytes(mark)))
-        want[i] = (len(b), sum(mark), runs, hashlib.sha256(bytes(c for c, m in zip(b, mark) if not m)).hexdigest())
+        want[i] = (len(b), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(bytes(c for c, m in zip(b, mark) if not m)).hexdigest())
+    return want
+
+
+def test_op5_brute_force(docs, none):
+    want = op5_expected(corpus())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(docs).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 0
     assert suffix.dedup(none).count() == 0
 
 
+def test_op5_merge_needs_sorted_shards():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))).encode() for _ in range(12)]
+
+    class Unsorted(suffix.Shard):
+        @staticmethod
+        def sort(sym, depth):
+            return np.arange(len(sym))[::-1].copy()
+
+    def intervals(kind):
+        shards = [kind(np.frombuffer(b"".join(texts[i : i + 4]), np.uint8), np.array([len(x) for x in texts[i : i + 4]]), i, 6) for i in (0, 4, 8)]
+        rows, lcp = suffix.merge(shards, 6)
+        got: dict = {}
+        for b, k, p in zip(*(x.tolist() for x in suffix.repeated_windows(shards, 6))):
+            got.setdefault(b, set()).add((k, p))
+        # common prefixes as compared directly
+        of, at = np.concatenate([s.of[s.sa] for s in shards]), np.concatenate([s.at[s.sa] for s in shards])
+        for i in range(1, len(rows)):
+            x, y = (texts[of[r]][at[r] :] for r in rows[i - 1 : i + 1])
+            common = next((k for k, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+            assert kind is Unsorted or lcp[i] == (common if common < 6 else -1) or rows[i] - rows[i - 1] != 1
+        return {frozenset(v) for v in got.values()}
+
+    places: dict = {}
+    for k, x in enumerate(texts):
+        for p in range(len(x) - 5):
+            places.setdefault(x[p : p + 6], set()).add((k, p))
+    want = {frozenset(v) for v in places.values() if len(v) > 1}
+    assert intervals(suffix.Shard) == want != intervals(Unsorted)
+
+
 def test_op5_merge_equals_direct_sort():
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(6, 40))).encode() for _ in range(30)]
     shards, i = [], 0
     for part in (texts[:7], texts[7:8], texts[8:]):
-        shards.append(suffix.Shard(np.frombuffer(b"".join(part), np.uint8), np.array([len(x) for x in part]), i))
+        shards.append(suffix.Shard(np.frombuffer(b"".join(part), np.uint8), np.array([len(x) for x in part]), i, 6))
         i += len(part)
     block, of, at = suffix.repeated_windows(shards, 6)
     places = {}
