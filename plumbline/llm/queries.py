@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline import tables
 from plumbline.session import attach
 
 from . import bpe, hnsw, jaccard, language, packing, quality, substring, suffix, tokenfiles, toxicity
@@ -28,7 +29,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return substring.dedup(_table(spark, sf_dir, "documents"), folder=tables.fresh_path(spark, "op3-index")).drop("kept")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

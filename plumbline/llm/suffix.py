@@ -2,16 +2,20 @@
 
 Text that can hold a repeated window (found through ``anchors``) meets in
 buckets. A bucket cuts its distinct stretches into shards and sorts each shard's
-suffixes once for its BWT. The shards are then merged without comparing suffixes again: from
-an interleave right by h symbols, one pass along the BWT columns, stably sorted
-by the symbols read, gives the one right by h + 1; a boundary that first shows
-in pass h is a common prefix of h - 1 symbols. Rows that stand alone between two
-boundaries are settled and leave, so after ``size`` passes exactly the intervals
-of repeated windows remain.
-
-Defined results: null text is empty; null ids and ids without an equal window
+suffixes once, by their first ``size`` symbols, for its BWT. The merge never
+compares suffixes again. It keeps an interleave: for each place of the merged
+order the shard that the row comes from, the rows of a shard being in its own
+order. From an interleave right by h - 1 symbols, one pass along the BWT
+columns, stably sorted by the symbols read, gives the one right by h. A boundary
+that first shows in pass h means a common prefix of h - 1 symbols with the row in front.
+Rows alone between two boundaries are settled and leave the merge. After ``size``
+passes the stretches of rows without a boundary between them, of common prefixes of ``size`` or more, are the repeated intervals.
+
+Defined results: null and empty texts are empty; a text shorter than the window loses nothing, very long ones
+are cut like others; null ids and ids without an equal window
 lose nothing; rows that share an id never remove from one another; a window is removed where
-it also starts in a document of smaller id.
+it also starts in a document of smaller id, so of equal texts the smallest id stays whole; an empty table gives no rows; columns
+besides doc_id and text are not read by ``dedup`` and pass through ``find``.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ _STEP = 7
 class Shard:
     """BWT of a collection of byte strings; every string ends in a symbol below all bytes."""
 
-    def __init__(self, body: np.ndarray, size: np.ndarray, first: int) -> None:
+    def __init__(self, body: np.ndarray, size: np.ndarray, first: int, depth: int) -> None:
         ends = np.cumsum(size + 1) - 1
         sym = np.zeros(int(ends[-1]) + 1, np.uint16)
         inside = K.ranges(ends - size, size)
         sym[inside] = body.astype(np.uint16) + np.uint16(1)
         self.of = np.repeat(np.arange(first, first + len(size), dtype=np.int32), size + 1)
         self.at = (np.arange(len(sym)) - np.repeat(ends - size, size + 1)).astype(np.int32)
-        sa = self.sort(sym)
+        sa = self.sort(sym, depth)
         rank = np.empty(len(sa), np.int32)
         rank[sa] = np.arange(len(sa))
         before = sa - 1
@@ -48,7 +52,8 @@ class Shard:
         self.sa = sa.astype(np.int32)
 
     @staticmethod
-    def sort(sym: np.ndarray, depth: int = 64) -> np.ndarray:
+    def sort(sym: np.ndarray, depth: int) -> np.ndarray:
+        """Suffixes in the order of their first ``depth`` symbols or more, a string's end below all; ties stay as they stand."""
         n = len(sym)
         padded = np.concatenate([sym, np.zeros(_STEP, np.uint16)])
         key, alive = np.zeros(n, np.int64), np.ones(n, bool)
@@ -59,52 +64,63 @@ class Shard:
         sa = np.argsort(key, kind="stable")
         k = key[sa]
         new = np.concatenate([[True], k[1:] != k[:-1]])
-        done = 0
-        while done < depth:
-            done += _STEP
-            group = np.cumsum(new) - 1
-            size = np.bincount(group)
-            tied = np.flatnonzero(size[group] > 1)
-            tied = tied[(key[sa[tied]] & 511 if done == _STEP else last[tied]) > 0]  # a string that ended stays in its place
-            if not len(tied):
-                break
-            nxt = np.zeros(n, np.int64)
-            nxt[tied] = key[np.minimum(sa[tied] + done, n - 1)]
-            order = np.lexsort((nxt[tied], group[tied]))
+        # suffixes that tie and go on, sorted again by their next symbols; a string that ended stays in its place
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)) & (k & 511 > 0))
+        done = _STEP
+        group = np.cumsum(new) - 1
+        while done < depth and len(tied):
+            nxt = key[np.minimum(sa[tied] + done, n - 1)]
+            order = np.lexsort((nxt, group[tied]))
             sa[tied] = sa[tied][order]
-            moved = nxt[tied][order]
-            g = group[tied]
-            last = np.zeros(n, np.int64)
-            last[tied] = moved & 511
-            diff = np.concatenate([[False], (moved[1:] != moved[:-1]) & (g[1:] == g[:-1])])
-            new[tied] |= diff
+            nxt, g = nxt[order], group[tied]
+            edge = np.concatenate([[True], (nxt[1:] != nxt[:-1]) | (g[1:] != g[:-1])])
+            group[tied] = tied[np.maximum.accumulate(np.where(edge, np.arange(len(tied)), 0))] + n  # a name of its own for each new group
+            tied = tied[~(edge & np.append(edge[1:], True)) & (nxt & 511 > 0)]
+            done += _STEP
         return sa
 
 
-def repeated_windows(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(interval, string, offset) of every window of ``size`` symbols that stands more than once in the shards' strings.
+def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, common prefixes): rows of the merged order, numbered shard by shard, that share their first ``size`` symbols with a neighbour.
 
-    Backward steps along the BWT put a symbol in front, so pass h orders rows by their first h symbols.
+    A row's common prefix is that with the row in front, -1 where it is ``size`` or more.
     """
     base = np.cumsum([0, *(len(s.bwt) for s in shards)])
     bwt = np.concatenate([s.bwt for s in shards])
     lf = np.concatenate([np.where(s.lf >= 0, s.lf + np.int32(b), np.int32(-1)) for s, b in zip(shards, base)])
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(base))
     rows, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
-    for _ in range(size):
+    lcp = np.full(base[-1], -1, np.int16)
+    for h in range(1, size + 1):
         sym = bwt[rows]
         on = sym > 0
-        rows, block, sym = lf[rows[on]], block[on], sym[on]
+        sym, block, interleave = sym[on], block[on], interleave[on]
+        stepped = np.zeros(base[-1], bool)
+        stepped[lf[rows[on]]] = True
         order = np.argsort(sym, kind="stable")
-        rows, block, sym = rows[order], block[order], sym[order]
-        if not len(rows):
-            break
+        sym, block, interleave = sym[order], block[order], interleave[order]
+        if not len(sym):
+            return np.zeros(0, np.int32), np.zeros(0, np.int16)
+        # the k-th place of a shard is the k-th of its rows
+        rows = np.empty(len(sym), np.int32)
+        for i in range(len(shards)):
+            rows[interleave == i] = np.flatnonzero(stepped[base[i] : base[i + 1]]) + base[i]
         edge = np.concatenate([[True], (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])])
+        first = rows[edge]
+        first = first[lcp[first] < 0]
+        lcp[first] = h - 1
         alone = edge & np.append(edge[1:], True)
         block = (np.cumsum(edge, dtype=np.int32) - np.int32(1))[~alone]
-        rows = rows[~alone]
+        rows, interleave = rows[~alone], interleave[~alone]
+    return rows, lcp[rows]
+
+
+def repeated_windows(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interval, string, offset) of every window of ``size`` symbols that stands more than once in the shards' strings."""
+    rows, lcp = merge(shards, size)
     of = np.concatenate([s.of[s.sa] for s in shards])[rows]
     at = np.concatenate([s.at[s.sa] for s in shards])[rows]
-    return block[: len(rows)], of, at
+    return np.cumsum(lcp >= 0) - 1, of, at
 
 
 def judge(win: anchors.Windows):
@@ -132,6 +148,13 @@ def judge(win: anchors.Windows):
 def _part(win, same, doc, lo, count, size, starts, body) -> list:
     order = np.lexsort((doc, same))
     head = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+    # equal hashes are compared byte by byte; a stretch that differs is a text of its own
+    other = np.empty(len(same), np.int64)
+    other[order] = order[head][np.cumsum(head) - 1]
+    odd = anchors.unlike(body, starts, size, other)[order]
+    if odd.any():
+        order = np.concatenate([order[~odd], order[odd]])
+        head = np.concatenate([head[~odd], np.ones(int(odd.sum()), bool)])
     text_of = np.empty(len(same), np.int64)
     text_of[order] = np.cumsum(head) - 1
     pick = order[head]  # one copy of each distinct stretch, from its smallest document
@@ -143,7 +166,7 @@ def _part(win, same, doc, lo, count, size, starts, body) -> list:
     while i < len(pick):
         j = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + SHARD, "right")))
         chosen = pick[i:j]
-        shards.append(Shard(body[K.ranges(starts[chosen], size[chosen])], size[chosen], i))
+        shards.append(Shard(body[K.ranges(starts[chosen], size[chosen])], size[chosen], i, win.size))
         i = j
     block, of, at = repeated_windows(shards, win.size)
     if len(block):

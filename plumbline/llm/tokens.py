@@ -4,8 +4,8 @@ The tokenizer of ``word_bpe_49k.json`` lower-cases, drops white space and merges
 within runs of letters or of marks, so the ids of a text are those of its pieces
 in order, where pieces end at white space and between an ASCII letter or digit
 and an ASCII mark (not at apostrophes, which make contractions, nor at < | >,
-which special tokens hold). A task keeps the pieces it has met by a 64-bit hash, with their ids in
-one flat array, and starts anew when ``LIMIT`` pieces are held, so its memory is bounded.
+which special tokens hold). A task keeps the pieces it has met, compared byte by byte, with their ids in
+one flat array, and starts anew when ``LIMIT`` pieces or ``ROOM`` bytes of them are held, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import numpy as np
 from . import kernels as K
 
 U64 = K.U64
-#: Pieces that a task holds at most.
-LIMIT = 700_000
+#: Pieces that a task holds at most, and bytes of them.
+LIMIT, ROOM = 700_000, 64 << 20
 
 
 def default_path() -> str:
@@ -56,33 +56,22 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.known = K.Vocabulary()
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For each span the number of its entry in start and size; encodes what is new."""
-        h = K.spans(K.prefix(K.BYTES[data]), s, e)
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > LIMIT:
+        if self.known.count > LIMIT or self.known.bytes > ROOM:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        out = np.empty(len(keys), np.int64)
-        out[known] = self.slot[at[known]]
+        out, new = self.known.numbers(data, s, e)
         if len(new):
             raw = data.tobytes()
-            got = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
+            got = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())])
             n = np.array([len(x) for x in got], np.int64)
             flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-            out[new] = np.arange(len(self.size), len(self.size) + len(new))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
             self.size, self.pool = np.concatenate([self.size, n]), np.concatenate([self.pool, flat])
-            keys2, slot2 = np.concatenate([self.keys, keys[new]]), np.concatenate([self.slot, out[new]])
-            order = np.argsort(keys2, kind="stable")
-            self.keys, self.slot = keys2[order], slot2[order]
-        return out[inverse]
+        return out
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by document) of a chunk of texts."""
