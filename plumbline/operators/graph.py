@@ -12,7 +12,7 @@ def _min_per_key(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable from each id that occurs in an edge.
+    """(id, component), a table: the smallest id reachable from each id that occurs in an edge.
 
     Alternating star contraction: every round points all neighbours of a node
     at the least of them (first the larger neighbours, then the smaller), so
@@ -41,4 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         tables.drop_tables(spark, now)
         now = nxt
     # once nothing moves, every edge ends in its component's least id
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = tables.materialise(out, "components")
+    tables.drop_tables(spark, now)
+    return out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +18,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends at files that every executor sees."""
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends at files that every executor sees, and the shuffles behind them go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+    with _own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession):
+    """Removes the shuffles made within, unless other jobs run beside; those are left to Spark's cleaner.
+
+    Should a shuffle still be wanted, Spark computes it again as after the loss of an executor.
+    """
+    sc = spark._jsc.sc()
+    idle = not spark.sparkContext.statusTracker().getActiveJobsIds()
+    first = sc.newShuffleId()
+    yield
+    last = sc.newShuffleId()
+    cleaner = sc.cleaner()
+    if idle and cleaner.isDefined() and not spark.sparkContext.statusTracker().getActiveJobsIds():
+        for shuffle in range(first + 1, last):
+            cleaner.get().doCleanupShuffle(shuffle, False)
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
@@ -36,12 +53,6 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps sooner; nothing waits for it or depends on it."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
