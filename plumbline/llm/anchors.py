@@ -482,10 +482,8 @@ def covered(docs: DataFrame, win: Windows, judge: Callable, name: str) -> DataFr
     """docs (all rows) with ``told``: the covered stretches of each document as a blob, null where there is none."""
     spark = docs.sparkSession
     told = tables.materialise(repeated(docs, win), f"{name}-anchors")
-    tables.release(spark)
     cover = tables.materialise(snippets(with_blobs(own(docs), told, "fps", "inner"), win, judge, tables.buckets(docs)), f"{name}-covers")
     tables.drop_tables(spark, told)
-    tables.release(spark)
     return with_blobs(docs, cover, "cover", "left")
 
 

@@ -321,21 +321,31 @@ def _signature(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
     return [(x[ptr[1:]] - x[ptr[:-1]]).view(np.int64) for x in sums]
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, several: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """(id, n, h): the whole sets of some nodes."""
+def _sets(docs: DataFrame, pivoted: DataFrame, several: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """``pivoted`` (doc and other columns) with h, each node's whole set."""
 
     def sets(batches):
         for b, data, off in K.chunks(batches):
             h, ptr = shingle_sets(data, off, cfg.shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ptr)), *map(pa.array, _signature(h, ptr)), K.blobs([h[p:q] for p, q in zip(ptr[:-1], ptr[1:])])], ["doc_id", "n", "s1", "s2", "h"])
+            made = {"__n": pa.array(np.diff(ptr)), "s1": pa.array(_signature(h, ptr)[0]), "s2": pa.array(_signature(h, ptr)[1]), "h": K.blobs([h[p:q] for p, q in zip(ptr[:-1], ptr[1:])])}
+            kept = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made.values()], [*kept, *made])
+
+    def made(rows: DataFrame) -> DataFrame:
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+        own = rows.mapInArrow(sets, f"{kept}, __n long, s1 long, s2 long, h binary")
+        return own.drop("n", "doc").withColumnRenamed("__n", "n")
 
     # the same plan at every size: the ids would be broadcast on small inputs only
-    plain = docs.join(nodes.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    made = _noded(plain.mapInArrow(sets, "doc_id long, n long, s1 long, s2 long, h binary"), several).where("doc = doc_id")
+    first = _noded(made(docs.join(pivoted.hint("merge"), F.col("doc_id") == F.col("doc"))), several).where("doc = doc_id")
     # rows beyond the first set of their id
-    others = docs.join(several.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, s1 long, s2 long, h binary")
-    others = _noded(others, several).where("doc != doc_id").join(nodes, "doc", "left_semi")
-    return made.unionByName(others).select(F.col("doc").alias("id"), "n", "h").dropDuplicates(["id"])
+    others = docs.join(several.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumn("doc", F.lit(0).cast("long"))
+    for c, t in pivoted.dtypes:
+        if c != "doc":
+            others = others.withColumn(c, F.lit(None).cast(t))
+    others = _noded(made(others), several).where("doc != doc_id").select("doc", "h").join(pivoted, "doc")
+    cols = [*pivoted.columns, "h"]
+    return first.select(*cols).unionByName(others.select(*cols)).dropDuplicates(["doc"])
 
 
 def _noded(rows: DataFrame, several: DataFrame) -> DataFrame:
@@ -346,7 +356,7 @@ def _noded(rows: DataFrame, several: DataFrame) -> DataFrame:
 
 
 def _pivots(lists: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(doc, n, piv, sketch): each document with the smallest document of its longest list, or with that one's own pivot, where the sketches are alike; else with itself."""
+    """(doc, piv): documents with the smallest document of their longest list, or with that one's own pivot, where the sketches are alike."""
     heads = lists.groupBy("tok").agg(F.count("*").alias("rows"), F.min("doc").alias("head"))
     own = lists.join(heads, "tok").groupBy("doc").agg((-F.max(F.struct("rows", (-F.col("head")).alias("m")))["m"]).alias("p"))
     jump = own.join(own.select(F.col("doc").alias("p"), F.col("p").alias("q")), "p", "left").select("doc", F.array(F.coalesce("q", "p"), "p").alias("try"))
@@ -363,17 +373,26 @@ def _pivots(lists: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 4)], ["doc", "piv", "nth"]).filter(pa.array(ok, pa.bool_()))
 
     near = asked.join(sketches.select("doc", "sketch"), "doc").join(other, "piv").select("doc", "piv", "sketch", "other", "nth").mapInArrow(alike, "doc long, piv long, nth int")
-    best = near.groupBy("doc").agg(F.min(F.struct("nth", "piv"))["piv"].alias("piv"))
-    return sketches.join(best, "doc", "left").select("doc", "n", F.coalesce("piv", "doc").alias("piv"), "sketch")
+    return near.groupBy("doc").agg(F.min(F.struct("nth", "piv"))["piv"].alias("piv"))
+
 
+def _with_pivots(sketches: DataFrame, best: DataFrame) -> DataFrame:
+    """(doc, n, piv, sketch, rows, heads): a document without a pivot is its own.
+
+    ``rows`` counts the documents of its pivot, ``heads`` those whose pivot it is (null: none), the pivot itself among them.
+    """
+    size = best.groupBy("piv").agg((F.count("*") + 1).alias("rows"))
+    own = sketches.join(best.join(size, "piv"), "doc", "left").join(size.select(F.col("piv").alias("doc"), F.col("rows").alias("heads")), "doc", "left")
+    return own.select("doc", "n", F.coalesce("piv", "doc").alias("piv"), "sketch", "rows", "heads")
 
-def _deltas(pivoted: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
+
+def _deltas(sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """(doc, n, piv, sketch, delta, rows): differences to the pivot's set; ``rows`` have the pivot. A pivot that others have stands here with an empty difference."""
-    size = pivoted.where("piv != doc").groupBy("piv").agg((F.count("*") + 1).alias("rows"))
+    pivots = sets.where("heads IS NOT NULL").select(F.col("doc").alias("piv"), "n", "sketch", F.col("heads").alias("rows"), F.col("h").alias("hp"))
     salts = F.ceil(F.col("rows") / cfg.block)
     # a pivot with very many documents goes to several tasks
-    head = sets.select(F.col("id").alias("piv"), F.col("n").alias("np"), F.col("h").alias("hp")).join(size, "piv").select("*", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    rows = pivoted.where("piv != doc").join(size, "piv").withColumn("salt", F.pmod(F.xxhash64("doc"), salts)).join(sets.select(F.col("id").alias("doc"), "n", "h"), ["doc", "n"])
+    head = pivots.select("piv", "hp", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    rows = sets.where("piv != doc").withColumn("salt", F.pmod(F.xxhash64("doc"), salts))
 
     def differ(batches):
         for b in batches:
@@ -381,14 +400,14 @@ def _deltas(pivoted: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[:5], K.blobs(made)], ["doc", "n", "piv", "sketch", "rows", "delta"])
 
     cols = ["doc", "n", "piv", "sketch", "rows", "delta"]
-    made = rows.join(head.drop("rows"), ["piv", "salt"]).select("doc", "n", "piv", "sketch", "rows", "h", "hp").mapInArrow(differ, "doc long, n long, piv long, sketch binary, rows long, delta binary")
+    made = rows.join(head.hint("merge"), ["piv", "salt"]).select("doc", "n", "piv", "sketch", "rows", "h", "hp").mapInArrow(differ, "doc long, n long, piv long, sketch binary, rows long, delta binary")
     # a pivot that has a pivot of its own meets its own documents as well
-    return made.unionByName(pivoted.select("doc", "n", F.col("doc").alias("piv"), "sketch").join(size, "piv").withColumn("delta", F.lit(b"")).select(*cols))
+    return made.unionByName(pivots.select(F.col("piv").alias("doc"), "n", "piv", "sketch", "rows", F.lit(b"").alias("delta")).select(*cols))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """The pairs whose whole sets link."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("h").alias("h" + x)) for x in "ab")
+    a, b = (sets.select(F.col("doc").alias(x), F.col("h").alias("h" + x)) for x in "ab")
 
     def run(batches):
         for t in batches:
@@ -440,14 +459,17 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     member = noded.select("doc_id", "doc", "n", "s1", "s2", salt.alias("salt")).join(salted.hint("merge"), ["s1", "s2", "n", "salt"], "left")
     member = tables.materialise(member.select("doc_id", "doc", "n", F.coalesce("rep", "doc").alias("rep"), "salt", "c"), "op8-members")
     reps = noded.where("n > 0 AND doc IS NOT NULL").select("doc", "n", "prefix", "sketch").join(member.where("doc != rep").select("doc").hint("merge"), "doc", "left_anti").dropDuplicates(["doc"])
+    reps = tables.materialise(reps, "op8-reps")
+    tables.drop_tables(spark, signs)
     lists = tables.materialise(_postings(reps), "op8-lists")
     listed = lists.select("doc").distinct()
     sketches = tables.materialise(reps.select("doc", "n", "sketch").join(listed.hint("merge"), "doc", "left_semi"), "op8-sketches")
-    sets = tables.materialise(_sets(own, listed, several, cfg), "op8-sets")
-    tables.drop_tables(spark, signs)
-    tables.release(spark)
-    pivoted = tables.materialise(_pivots(lists, sketches), "op8-pivots")
-    near = tables.materialise(_deltas(pivoted, sets, cfg), "op8-deltas")
+    tables.drop_tables(spark, reps)
+    best = tables.materialise(_pivots(lists, sketches), "op8-best")
+    pivoted = tables.materialise(_with_pivots(sketches, best), "op8-pivots")
+    tables.drop_tables(spark, best)
+    sets = tables.materialise(_sets(own, pivoted, several, cfg), "op8-sets")
+    near = tables.materialise(_deltas(sets, cfg), "op8-deltas")
     # what a set's distance to its pivot says already
     direct = F.col("piv") != F.col("doc")
     np_ = near.where("piv = doc").select("piv", F.col("n").alias("np"))
@@ -460,8 +482,7 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     several_ids = member.join(several.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "rep").distinct()
     ties = several_ids.join(several_ids.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
     links = tables.materialise(links.unionByName(ties).unionByName(_meet(local, cfg, within=True)).distinct(), "op8-links")
-    tables.release(spark)
-    groups = tables.materialise(connected_components(links), "op8-groups")
+    groups = connected_components(links)
     # groups of one pivot that fill several blocks
     wide = near.where(F.col("rows") > cfg.block)
     done = [links]
@@ -470,7 +491,7 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
         more = tables.materialise(_meet(_across(rows, "piv", cfg), cfg, within=True), "op8-links")
         done.append(more)
         tables.drop_tables(spark, groups)
-        groups = tables.materialise(connected_components(links.unionByName(more)), "op8-groups")
+        groups = connected_components(links.unionByName(more))
     tables.drop_tables(spark, near)
     # lists: rows that have a partner of another group and another pivot
     grouped = lists.join(pivoted.select("doc", "piv"), "doc").join(groups, F.col("doc") == F.col("id"), "left").select("tok", "doc", "n", "pos", "piv", F.coalesce("component", "doc").alias("grp"))
@@ -482,14 +503,13 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     rows = tables.materialise(grouped.join(open_, ["tok", "grp", "piv"]), "op8-open")
     tables.drop_tables(spark, grouped)
     rest = tables.materialise(_meet(_across(rows, "tok", cfg).join(sketches.select("doc", "sketch"), "doc"), cfg, within=False), "op8-pairs")
-    tables.release(spark)
     if not rest.isEmpty():
         done.append(tables.materialise(_verified(sets, rest, cfg), "op8-links"))
         links = done[0]
         for x in done[1:]:
             links = links.unionByName(x)
         tables.drop_tables(spark, groups)
-        groups = tables.materialise(connected_components(links), "op8-groups")
+        groups = connected_components(links)
     tables.drop_tables(spark, rows, rest, sets, sketches, pivoted, several, *done)
     # copies take their representative's component, by the same deal as above
     comp = groups.groupBy("id").agg(F.min("component").alias("component"))

@@ -207,13 +207,11 @@ def ingest(docs: DataFrame, folder: str, history: DataFrame | None = None, size:
         raise ValueError("the index has earlier batches: their documents are needed for verification")
     log = anchors.Log(folder, meta["buckets"], tuple(meta["runs"]), f"run-{uuid.uuid4().hex[:12]}")
     told = tables.materialise(anchors.meeting(anchors.own(docs), anchors.extractor(win), True, log), "op3-anchors")
-    tables.release(spark)
     asked = anchors.with_blobs(anchors.own(docs), told.where("NOT old"), "fps", "inner").withColumn("old", F.lit(False))
     if meta["runs"]:
         asked = asked.unionByName(anchors.with_blobs(anchors.own(history), told.where("old"), "fps", "inner").withColumn("old", F.lit(True)))
     cover = tables.materialise(anchors.snippets(asked, win, judge(win), tables.buckets(docs)), "op3-covers")
     tables.drop_tables(spark, told)
-    tables.release(spark)
     _compact(spark, folder, _meta(folder, meta | {"runs": [*meta["runs"], log.target]}), factor)
     return anchors.with_blobs(docs, cover, "cover", "left")
 
