@@ -15,7 +15,7 @@ Blocks of queries are sent to the shards; a task reads a shard's file once for a
 
 Defined results: vectors null, empty, zero, or with null or non-finite components take no part, neither do null ids; a query
 meets vectors of its own dimension only; equal rows count once; rows that share an id but not the vector are separate candidates, none of which is
-returned for a query of that id; ties go to the smaller id; an empty table gives no rows; columns besides vec_id and embedding are not read.
+returned for a query of that id; an id that asks with several vectors has one ranking of all answers; ties go to the smaller id; an empty table gives no rows; columns besides vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +37,12 @@ _NONE = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class HnswConfig:
-    shard: int = 1 << 15  #: vectors of one graph, on average
+    shard: int = 1 << 14  #: vectors of one graph, on average
     m: int = 16  #: links of a node on upper levels, twice as many on the lowest
-    build: int = 64  #: beam of an insertion
+    build: int = 80  #: beam of an insertion
     batch: int = 1024  #: vectors inserted at once
-    ef: int = 128  #: beam of a search
-    wide: int = 4  #: nodes of a beam opened in one step
+    ef: int = 160  #: beam of a search
+    wide: int = 8  #: nodes of a beam opened in one step
     step: int = 256  #: vectors that search in step
     block: int = 2048  #: queries sent together
 
@@ -284,7 +284,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, cfg: HnswConfig
     where: dict[int, list[tuple[int, str]]] = {}
     for row in built.select("shard", "dim", "file").collect():
         where.setdefault(row.dim, []).append((row.shard, row.file))
-    asked = _valid(queries)
+    asked = _valid(queries).distinct()
     blocks = max(1, -(-asked.count() // cfg.block))
 
     def pack(t: pa.Table) -> pa.Table:
