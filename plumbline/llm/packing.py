@@ -1,20 +1,27 @@
 """Best-fit packing of token sequences by bin completion over the histogram of lengths.
 
 Whatever the number of documents, pieces have at most ``capacity`` lengths, so
-the problem is solved on the histogram: take the largest length left, search the
-fillings of its gap, apply the best as often as the counts allow, go on. The
-search is a branch and bound over undominated fillings (larger pieces first; a
-piece that fits and is at least as large replaces a smaller one), pruned by the
-waste of the incumbent, which starts as the best-fit filling, and by the bound
-that no filling wastes less than nothing. ``nodes`` limits one search; the incumbent stands
-then. Every piece then finds its place by its rank among the pieces of its length.
-
-Defined results: null text is empty: one piece holding the end id; rows that share an
-id are packed apart; null ids are packed as well.
+the problem is solved on the histogram. The incumbent: take the largest length
+left, search the filling of its gap that wastes least (starting from the best-fit
+filling), apply it as often as the counts allow, go on. If that meets the lower
+bound it is optimal. Otherwise a branch and bound over bins looks for a solution
+with fewer: the largest piece left is completed by each undominated filling in
+turn (least waste first), and a branch ends where the waste so far exceeds what
+the wanted number of sequences allows. A filling is dominated if one more piece
+fits, or if some of its pieces can give way to one larger piece that fits in
+their place. Instances of at most ``bins`` sequences are searched whole; of larger ones, whose
+incumbents waste next to nothing, the ``bins`` most wasteful sequences. ``nodes`` limits a
+search; where it ends one, the incumbent stands and ``plan`` says that it isn't proven.
+Every piece then finds its place by its rank among the pieces of its length.
+
+Defined results: null and empty texts are one piece holding the end id; a text longer than a sequence is cut into
+pieces; rows that share an id are packed apart, equal ones too; null ids are packed as well; an empty table gives no rows; columns besides doc_id and
+text are not read. Ties between lengths go to the first in task and row order.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +38,8 @@ from . import kernels as K, tokens
 class PackConfig:
     capacity: int = 4096
     end_id: int = 1
-    nodes: int = 4000
+    nodes: int = 20000  #: fillings looked at in one search
+    bins: int = 96  #: sequences that one search over bins packs anew, at most
 
 
 def best_fit(gap: int, counts: np.ndarray) -> list[int]:
@@ -108,26 +116,156 @@ def complete(gap: int, counts: np.ndarray, nodes: int) -> list[int]:
     return best
 
 
-def plan(counts: np.ndarray, cfg: PackConfig) -> tuple[np.ndarray, int]:
-    """(slots, number of sequences): slots are rows (length, first rank, ranks, per sequence, first sequence, offset), sorted by length and rank."""
-    counts = counts.astype(np.int64).copy()
-    used = np.zeros_like(counts)
-    slots, seq = [], 0
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: the total length, and for each k the pieces that can't share with those of k or more."""
+    size = np.arange(len(counts))
+    best = -(-int((counts * size).sum()) // capacity)
+    n, total = np.cumsum(counts), np.cumsum(counts * size)
+    half = capacity // 2
+    for k in range(1, half + 1):
+        alone = n[-1] - n[min(capacity - k, len(n) - 1)]
+        large = n[min(capacity - k, len(n) - 1)] - n[half]
+        room = large * capacity - (total[min(capacity - k, len(n) - 1)] - total[half])
+        small = total[half] - total[k - 1]
+        best = max(best, int(alone + large + max(0, -(-(small - room) // capacity))))
+    return best
+
+
+def fillings(gap: int, counts: np.ndarray, waste: int, tick) -> list[tuple[int, list[int]]]:
+    """(waste, pieces) of the undominated fillings of a gap that waste at most ``waste``, least first; ``tick()`` says whether to go on."""
+    sizes = (np.flatnonzero(counts[1 : gap + 1]) + 1)[::-1].tolist()
+    if not sizes:
+        return [(gap, [])] if gap <= waste else []
+    if sizes[0] == gap:
+        return [(0, [gap])]  # one piece that fits exactly dominates every other filling
+    after = np.append(np.cumsum([s * int(counts[s]) for s in sizes][::-1])[::-1], 0).tolist()
+    out: list[tuple[int, list[int]]] = []
+
+    def dominated(chosen: list[int], left: int) -> bool:
+        used = {s: chosen.count(s) for s in set(chosen)}
+        free = [s for s in sizes if counts[s] > used.get(s, 0)]
+        if free and free[-1] <= left:
+            return True
+        sums = set()
+        for k in (1, 2, 3):
+            sums |= {sum(x) for x in itertools.combinations(chosen, k)}
+        # a piece that is larger than some of the chosen together, or as large as several, and fits in their place
+        return any(x < y <= x + left or (x == y and x not in used) for x in sums for y in free)
+
+    def walk(i: int, left: int, chosen: list[int]) -> bool:
+        if not tick():
+            return False
+        if left - min(left, after[i]) > waste:
+            return True
+        while i < len(sizes) and sizes[i] > left:
+            i += 1
+        if i == len(sizes):
+            if left <= waste and not dominated(chosen, left):
+                out.append((left, list(chosen)))
+            return True
+        s = sizes[i]
+        for k in range(min(left // s, int(counts[s])), -1, -1):
+            if not walk(i + 1, left - k * s, chosen + [s] * k):
+                return False
+        return True
+
+    walk(0, gap, [])
+    out.sort(key=lambda x: x[0])
+    return out
+
+
+def search(counts: np.ndarray, capacity: int, target: int, nodes: int) -> tuple[list[list[int]] | None, bool]:
+    """(fillings of at most ``target`` sequences or None, whether the search came to its end)."""
+    counts, left = counts.astype(np.int64).copy(), nodes
+    spare = target * capacity - int((counts * np.arange(len(counts))).sum())
+    done: list[list[int]] = []
+    failed: set[tuple] = set()
+
+    def tick() -> bool:
+        nonlocal left
+        left -= 1
+        return left > 0
+
+    def walk(spare: int) -> bool:
+        sizes = np.flatnonzero(counts)
+        if not len(sizes):
+            return True
+        state = (spare, sizes.tobytes(), counts[sizes].tobytes())
+        if state in failed or not tick():
+            return False
+        big = int(sizes[-1])
+        counts[big] -= 1
+        for waste, chosen in fillings(capacity - big, counts, spare, tick):
+            for s in chosen:
+                counts[s] -= 1
+            done.append([big, *chosen])
+            if walk(spare - waste):
+                return True
+            done.pop()
+            for s in chosen:
+                counts[s] += 1
+            if left <= 0:
+                break
+        counts[big] += 1
+        failed.add(state)
+        return False
+
+    if spare < 0:
+        return None, True
+    return (done, True) if walk(spare) else (None, left > 0)
+
+
+def greedy(counts: np.ndarray, cfg: PackConfig) -> list[tuple[list[int], int]]:
+    """(pieces of a sequence, times): the incumbent."""
+    counts, out = counts.astype(np.int64).copy(), []
     for big in range(cfg.capacity, 0, -1):
         while counts[big] > 0:
             counts[big] -= 1
-            filling = complete(cfg.capacity - big, counts, cfg.nodes)
+            filling = [big, *complete(cfg.capacity - big, counts, min(cfg.nodes, 4000))]
             counts[big] += 1
-            sizes, times = np.unique(np.array([big, *filling]), return_counts=True)
+            sizes, times = np.unique(np.array(filling), return_counts=True)
             m = int((counts[sizes] // times).min())
-            offset = 0
-            for size, k in zip(sizes[::-1].tolist(), times[::-1].tolist()):
-                slots.append((size, int(used[size]), m * k, k, seq, offset))
-                used[size] += m * k
-                counts[size] -= m * k
-                offset += k * size
-            seq += m
-    return np.array(sorted(slots), np.int64).reshape(-1, 6), seq
+            counts[sizes] -= m * times
+            out.append((filling, m))
+    return out
+
+
+def improve(patterns: list[tuple[list[int], int]], counts: np.ndarray, cfg: PackConfig) -> tuple[list[tuple[list[int], int]], bool]:
+    """(patterns, whether they are proven the fewest) after the search over bins."""
+    n, low = sum(m for _, m in patterns), lower_bound(counts, cfg.capacity)
+    if n <= low:
+        return patterns, True
+    kept, again = [], []
+    for filling, m in sorted(patterns, key=lambda x: sum(x[0])):
+        take = min(m, cfg.bins - len(again))
+        again += [filling] * take
+        if m > take:
+            kept.append((filling, m - take))
+    part = np.bincount(np.concatenate(again), minlength=len(counts))
+    for target in range(max(lower_bound(part, cfg.capacity), len(again) - (n - low)), len(again)):
+        found, ended = search(part, cfg.capacity, target, cfg.nodes)
+        if found is not None:
+            proven = not kept or sum(m for _, m in kept) + len(found) == low
+            return [*kept, *((f, 1) for f in found)], proven
+        if not ended:
+            return patterns, False
+    return patterns, not kept
+
+
+def plan(counts: np.ndarray, cfg: PackConfig) -> tuple[np.ndarray, int, bool]:
+    """(slots, number of sequences, whether it is proven the least): slots are rows (length, first rank, ranks, per sequence, first sequence, offset), sorted by length and rank."""
+    patterns, proven = improve(greedy(counts, cfg), counts, cfg)
+    used = np.zeros(len(counts), np.int64)
+    slots, seq = [], 0
+    for filling, m in patterns:
+        sizes, times = np.unique(np.array(filling), return_counts=True)
+        offset = 0
+        for size, k in zip(sizes[::-1].tolist(), times[::-1].tolist()):
+            slots.append((size, int(used[size]), m * k, k, seq, offset))
+            used[size] += m * k
+            offset += k * size
+        seq += m
+    return np.array(sorted(slots), np.int64).reshape(-1, 6), seq, proven
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
@@ -169,7 +307,7 @@ def pack(docs: DataFrame, path: str | None = None, cfg: PackConfig = PackConfig(
     hist = np.zeros(cfg.capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length
         hist[row.length] = row.n
-    slots, _ = plan(hist, cfg)
+    slots = plan(hist, cfg)[0]
     sent = spark.sparkContext.broadcast(slots)  # at most a slot for each two lengths of a pattern, whatever the input
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

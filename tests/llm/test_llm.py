@@ -371,7 +371,7 @@ def test_op9_recall_and_edges(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, []), (9005, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
     got: dict = {}
-    for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), 20, hnsw.HnswConfig(shard=700)).collect():
+    for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), 20, hnsw.HnswConfig(shard=1500)).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     y, hit, total = x.astype(np.float64), 0, 0
     for q in range(0, 3000, 20):
@@ -393,6 +393,14 @@ def test_op10_packing(docs, none):
         g = g.sort_values("offset")
         assert list(g.offset) == list(g.length.cumsum() - g.length) and g.length.sum() <= 128
     assert got.sequence_id.nunique() <= -(-total // 128) + 2
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_path())
+    want = {}
+    for i, t in corpus():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want |= {(i, k): (len(x := ids[k * 128 : k * 128 + 128]), zlib.crc32(x.tobytes())) for k in range(-(-len(ids) // 128))}
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in got.itertuples()} == want
     for _, g in got.groupby("doc_id"):
         g = g.sort_values("piece")
         assert list(g.piece) == list(range(len(g))) and list(g.start) == [128 * k for k in range(len(g))] and (g.length[:-1] == 128).all()
@@ -412,6 +420,63 @@ def test_op10_completion_is_as_good_as_brute_force():
         assert sum(found) == best and all(found.count(x) <= counts[x] for x in found)
 
 
+def test_op10_fewest_sequences():
+    def fewest(items, capacity):
+        bins, best = [], len(items)
+
+        def put(i):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for k in {room: k for k, room in enumerate(bins) if room >= items[i]}.values():
+                bins[k] -= items[i]
+                put(i + 1)
+                bins[k] += items[i]
+            bins.append(capacity - items[i])
+            put(i + 1)
+            bins.pop()
+
+        put(0)
+        return best
+
+    rng = random.Random(12)
+    cases = [(30, [18, 17, 16, 16, 15, 14, 11, 10, 9, 8, 7, 5])]
+    for _ in range(80):
+        c = rng.choice([20, 30, 50])
+        cases.append((c, sorted((rng.randint(c // 8, c * 2 // 3) for _ in range(12)), reverse=True)))
+    for c, items in cases:
+        counts = np.bincount(items, minlength=c + 1)
+        slots, n, proven = packing.plan(counts, packing.PackConfig(capacity=c))
+        assert proven and n == fewest(items, c) and slots[:, 2].sum() == len(items)
+        assert packing.lower_bound(counts, c) <= n
+    # a search that may not go on keeps the incumbent and says so
+    assert packing.plan(np.bincount(cases[0][1], minlength=31), packing.PackConfig(capacity=30, nodes=2))[1:] == (6, False)
+
+
+def test_op9_insertion_and_recall():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(0, 200, 6000)] + 0.4 * rng.normal(size=(6000, 32))
+    cfg = hnsw.HnswConfig(batch=256)
+    graph = hnsw.build(x, rng.integers(0, 1 << 63, len(x)).astype(np.uint64), cfg)
+    nodes, links = graph[0]
+    assert len(nodes) == 6000 and links.shape == (6000, 32) and (links != np.arange(6000)[:, None]).all()
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in links[:200])
+    got = hnsw.search(x.astype(np.float32), graph, x[:300], 20, cfg)
+    best = np.argsort(-(x[:300] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got.tolist(), best.tolist())]) >= 0.95
+
+
+def test_op9_repeated_ids_do_not_hide_others(spark):
+    rows = [(20, [1.0, 0.0])] * 30 + [(21, [1.0, 0.0]), (22, [0.5, 0.0]), (22, [0.0, 1.0]), (None, [1.0, 0.0]), (23, [1.0, None])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id LONG, embedding ARRAY<FLOAT>, shard STRING")
+    got = [(r.rank, r.vec_id, r.score) for r in hnsw.nearest(df, df.where("vec_id = 20"), 3).orderBy("rank").collect()]
+    assert got == [(1, 21, 1.0), (2, 22, 0.5), (3, 22, 0.0)]
+
+
 def test_pipeline_small(spark, docs, tmp_path):
     import corpus_pipeline
 
