@@ -8,8 +8,9 @@ language costs ``switch``; equal neighbours form spans.
 
 Defined results: ``und`` and score 0 for null texts and texts without a letter;
 otherwise the language that labels most letters, ties to the first in
-alphabetical order, with its share of the letters as score. With no training
-rows every text is ``und``.
+alphabetical order, with its share of the letters as score; very long texts are labelled whole; repeated rows are
+labelled alike, null ids too; an empty table gives no rows. With no training
+rows every text is ``und``. ``predict`` reads doc_id and text only, ``annotate`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernels as K
 
@@ -206,34 +207,51 @@ def viterbi(scores: np.ndarray, wptr: np.ndarray, switch: float) -> np.ndarray:
 _OUT = "doc_id long, lang_pred string, score double, n_spans int, spans array<struct<lang:string,start:int,stop:int>>"
 
 
+def _label(data: np.ndarray, off: np.ndarray, model: dict, spans: bool):
+    """(languages, scores, numbers of spans, spans) of a chunk's documents."""
+    names, n = model["names"], len(off) - 1
+    pred, sure, n_spans = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int32)
+    made = [[] for _ in range(n)] if spans else None
+    if names and len(data):
+        s, e, wptr, grams, w, n_letters, top = _look(data, off)
+        label = viterbi(emissions(model, s, e, grams, w, n_letters, top), wptr, model["cfg"].switch)
+        doc = K.owners(wptr)
+        by = np.bincount(doc * len(names) + label, weights=n_letters, minlength=n * len(names)).reshape(n, -1)
+        total = by.sum(1)
+        some = total > 0
+        pred[some] = np.array(names, object)[by.argmax(1)[some]]
+        sure[some] = by.max(1)[some] / total[some]
+        if len(s):
+            head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
+            tail = np.append(head[1:], len(label))
+            n_spans += np.bincount(doc[head], minlength=n).astype(np.int32)
+            if spans:
+                for d, k, i, j in zip(doc[head].tolist(), label[head].tolist(), (head - wptr[doc[head]]).tolist(), (tail - wptr[doc[head]]).tolist()):
+                    made[d].append({"lang": names[k], "start": i, "stop": j})
+    return pred, sure, n_spans, made
+
+
 def predict(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score, n_spans, spans (word ranges [start, stop) of one language) for every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
-        model = sent.value
-        names = model["names"]
         for b, data, off in K.chunks(batches):
-            n = len(off) - 1
-            pred, sure, n_spans = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int32)
-            made = [[] for _ in range(n)] if spans else None
-            if names and len(data):
-                s, e, wptr, grams, w, n_letters, top = _look(data, off)
-                label = viterbi(emissions(model, s, e, grams, w, n_letters, top), wptr, model["cfg"].switch)
-                doc = K.owners(wptr)
-                by = np.bincount(doc * len(names) + label, weights=n_letters, minlength=n * len(names)).reshape(n, -1)
-                total = by.sum(1)
-                some = total > 0
-                pred[some] = np.array(names, object)[by.argmax(1)[some]]
-                sure[some] = by.max(1)[some] / total[some]
-                if len(s):
-                    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
-                    tail = np.append(head[1:], len(label))
-                    n_spans += np.bincount(doc[head], minlength=n).astype(np.int32)
-                    if spans:
-                        for d, k, i, j in zip(doc[head].tolist(), label[head].tolist(), (head - wptr[doc[head]]).tolist(), (tail - wptr[doc[head]]).tolist()):
-                            made[d].append({"lang": names[k], "start": i, "stop": j})
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(sure), pa.array(n_spans, pa.int32()), pa.array(made if spans else [None] * n, kind)], ["doc_id", "lang_pred", "score", "n_spans", "spans"])
+            pred, sure, n_spans, made = _label(data, off, sent.value, spans)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(sure), pa.array(n_spans, pa.int32()), pa.array(made if spans else [None] * len(pred), kind)], ["doc_id", "lang_pred", "score", "n_spans", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _OUT)
+
+
+def annotate(docs: DataFrame, model: dict, lang: str = "__lang_pred", score: str = "__lang_score") -> DataFrame:
+    """``docs`` with all columns, and each text's language and score beside them, in one pass without a join."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    shape = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+
+    def run(batches):
+        for b, data, off in K.chunks(batches):
+            pred, sure, *_ = _label(data, off, sent.value, False)
+            yield b.append_column(lang, pa.array(pred, pa.string())).append_column(score, pa.array(sure))
+
+    return docs.mapInArrow(run, shape)
