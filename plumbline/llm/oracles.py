@@ -24,7 +24,8 @@ judged AS (
 verdict AS (
   SELECT doc_id, sum(CASE WHEN symbols >= 0.5 * len(lw) OR (marks >= 0.5 * len(lw) AND len(lw) >= 3)
            OR (links >= 3 AND (len(lw) - links) / (links + 1) <= 3.0)
-           OR (len(lw) <= 40 AND regexp_matches(line, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|we use cookies|enable javascript|javascript is disabled|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|newsletter|share (this|on)|follow us|back to top|skip to (main )?content|lorem ipsum|page not found)\b|©'))
+           OR (len(lw) <= 40 AND length(line) - length(regexp_replace(line, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|we use cookies|enable javascript|javascript is disabled|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|newsletter|share (this|on)|follow us|back to top|skip to (main )?content|lorem ipsum|page not found)\b|©|\b(tous droits r|mentions l.gales|politique de confidentialit|en savoir plus|lire la suite|se connecter|alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|mehr erfahren|jetzt anmelden|todos los derechos reservados|pol.tica de privacidad|iniciar sesi)', '', 'g')) >= 0.3 * length(line))
+           OR (len(lw) <= 3 AND length(line) < 40 AND NOT regexp_matches(line, '[.!?…:;。！？][''\x22»”’)\]]*[\x20\x09-\x0D]*\z'))
            OR (len(lw) >= 10 AND len(list_distinct(lw)) < 0.15 * len(lw))
          THEN length(array_to_string(lw, '')) ELSE 0 END) AS lost
   FROM judged GROUP BY doc_id),

@@ -1,13 +1,15 @@
 """Line-first quality rules in DataFrame functions only.
 
-Each line is judged on its own by punctuation, navigation and boilerplate rules;
+Each line is judged on its own by punctuation, navigation and boilerplate rules
+(too many symbols or marks, short lines without an ending mark, links side by side, phrases that make
+up much of the line, a few words over and over);
 lines that fail are removed, and a document is rejected when its base rules
 fail or when the removed lines held more than ``max_lost`` of its word characters.
 
 Words are runs without space, \\t, \\n, \\v, \\f, \\r. Counts are exact, except
 that three-word windows are compared by a 64-bit hash. Null text counts as
-empty; an empty text has no words and fails the base rule; repeated rows are
-judged alike. Other columns pass through ``clean`` unchanged, and names the
+empty; an empty text has no words and fails the base rule; very long texts are judged whole; repeated rows are
+judged alike, null ids too; an empty table gives no rows. Other columns pass through ``clean`` unchanged, and names the
 operator uses itself are prefixed, so extra columns can't clash.
 """
 
@@ -32,16 +34,23 @@ class LineRules:
     separators: int = 3  #: | » • · in a line from which it counts as navigation, if few words stand between them
     words_per_link: float = 3.0
     boilerplate_words: int = 40
+    boilerplate_share: float = 0.3  #: share of a line's characters that phrases of boilerplate hold
+    stub_words: int = 3  #: words up to which a line without ending punctuation counts as a menu's
+    stub_chars: int = 40
     repeat_words: int = 10  #: words in a line from which its vocabulary is held against its length
     min_vocabulary: float = 0.15
 
 
-#: Phrases of boilerplate, as one pattern.
+#: Phrases of boilerplate in English, French, German and Spanish, as one pattern.
 BOILERPLATE = (
     r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|we use cookies"
     r"|enable javascript|javascript is disabled|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|newsletter"
     r"|share (this|on)|follow us|back to top|skip to (main )?content|lorem ipsum|page not found)\b|©"
+    r"|\b(tous droits r|mentions l.gales|politique de confidentialit|en savoir plus|lire la suite|se connecter|alle rechte vorbehalten"
+    r"|datenschutzerkl|nutzungsbedingungen|mehr erfahren|jetzt anmelden|todos los derechos reservados|pol.tica de privacidad|iniciar sesi)"
 )
+#: The end of a line of prose: a mark, with quotes or brackets behind it.
+ENDING = r"[.!?…:;。！？]['\x22»”’)\]]*[\x20\x09-\x0D]*\z"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -57,7 +66,8 @@ def line_fails(line: Column, cfg: LineRules) -> Column:
         (symbols >= cfg.symbols_per_word * n)
         | ((marks >= cfg.marks_per_word * n) & (n >= 3))
         | ((links >= cfg.separators) & ((n - links) / (links + 1) <= cfg.words_per_link))
-        | ((n <= cfg.boilerplate_words) & line.rlike(BOILERPLATE))
+        | ((n <= cfg.boilerplate_words) & (_count(line, BOILERPLATE) >= cfg.boilerplate_share * F.length(line)))
+        | ((n <= cfg.stub_words) & (F.length(line) < cfg.stub_chars) & ~line.rlike(ENDING))
         | ((n >= cfg.repeat_words) & (F.size(F.array_distinct(words)) < cfg.min_vocabulary * n))
     ) & line.rlike(_HAS_WORD)
 

@@ -318,6 +318,19 @@ def test_op7_lines(spark):
     assert r[1].kept and r[1].clean_text == prose and not r[2].kept and r[3].kept and r[3].clean_text == prose
 
 
+def test_op7_rules_line_by_line(spark):
+    lines = {
+        "Home": True, "Read more": True, "All rights reserved.": True, "Sign up for our newsletter": True, "© 2024 Example": True, "Tous droits réservés.": True, "Alle Rechte vorbehalten.": True,
+        "He asked her to read more about the harbour and its boats in the winter.": False, "They had to log in the new trees by hand before the snow came.": False,
+        "Yes.": False, "What a day!": False, '"So it is."': False, "The end of the first part of the long story": False, "a b c d e f g h i j k": False,
+        "Home | News | About | Contact": True, "### $$$ %%% x": True, "no no no no no no no no no no no no no no": True, "WHAT!! IS!! THIS!!": True,
+    }
+    prose = " ".join(f"plain{i}" for i in range(80)) + "."
+    rows = [(i, line + "\n" + prose) for i, line in enumerate(lines)]
+    got = {r.doc_id: r.clean_text for r in quality.clean(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert {line: got[i] == prose for i, line in enumerate(lines)} == lines
+
+
 def test_op4_mixed_text(spark, none):
     rng = random.Random(4)
     en, fr = "the and that with which under harbour winter".split(), "le les des avec pour hiver château été".split()
