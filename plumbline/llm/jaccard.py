@@ -345,7 +345,8 @@ def _sets(docs: DataFrame, pivoted: DataFrame, several: DataFrame, cfg: JaccardC
             others = others.withColumn(c, F.lit(None).cast(t))
     others = _noded(made(others), several).where("doc != doc_id").select("doc", "h").join(pivoted, "doc")
     cols = [*pivoted.columns, "h"]
-    return first.select(*cols).unionByName(others.select(*cols)).dropDuplicates(["doc"])
+    # equal rows of an id give equal rows here, which change no link
+    return first.select(*cols).unionByName(others.select(*cols))
 
 
 def _noded(rows: DataFrame, several: DataFrame) -> DataFrame:
@@ -468,8 +469,9 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     best = tables.materialise(_pivots(lists, sketches), "op8-best")
     pivoted = tables.materialise(_with_pivots(sketches, best), "op8-pivots")
     tables.drop_tables(spark, best)
-    sets = tables.materialise(_sets(own, pivoted, several, cfg), "op8-sets")
+    sets = tables.materialise(_sets(own, pivoted.where("piv != doc OR heads IS NOT NULL"), several, cfg), "op8-sets")
     near = tables.materialise(_deltas(sets, cfg), "op8-deltas")
+    tables.drop_tables(spark, sets)
     # what a set's distance to its pivot says already
     direct = F.col("piv") != F.col("doc")
     np_ = near.where("piv = doc").select("piv", F.col("n").alias("np"))
@@ -504,13 +506,16 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     tables.drop_tables(spark, grouped)
     rest = tables.materialise(_meet(_across(rows, "tok", cfg).join(sketches.select("doc", "sketch"), "doc"), cfg, within=False), "op8-pairs")
     if not rest.isEmpty():
+        asked = rest.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        sets = tables.materialise(_sets(own, asked, several, cfg), "op8-sets")
         done.append(tables.materialise(_verified(sets, rest, cfg), "op8-links"))
+        tables.drop_tables(spark, sets)
         links = done[0]
         for x in done[1:]:
             links = links.unionByName(x)
         tables.drop_tables(spark, groups)
         groups = connected_components(links)
-    tables.drop_tables(spark, rows, rest, sets, sketches, pivoted, several, *done)
+    tables.drop_tables(spark, rows, rest, sketches, pivoted, several, *done)
     # copies take their representative's component, by the same deal as above
     comp = groups.groupBy("id").agg(F.min("component").alias("component"))
     many = same.select("rep", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
