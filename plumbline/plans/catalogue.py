@@ -15,7 +15,7 @@ from plumbline.functions import constants as C, stats, text as T
 from plumbline.operators import ai, batch, citations, coherence, recycling, similarity as S, style, watermark
 from plumbline.operators.graph import connected_components
 from plumbline.plans import fixtures, report
-from plumbline.plans.sqltext import SQL
+from plumbline.plans.sqlfiles import SQL
 from plumbline.session import attach
 from plumbline.sources import documents as D, index
 
