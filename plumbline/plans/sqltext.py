@@ -250,17 +250,6 @@ _RECSUM = f"""{_REC}, tot AS (SELECT l.d AS doc_id, count(*) AS n FROM sub GROUP
 rec AS (SELECT d.doc_id, coalesce(n, 0) AS sentences, coalesce(f, 0) AS flagged, coalesce(v, 0) AS v, 100.0::DOUBLE * coalesce(f, 0) / greatest(coalesce(n, 0), 1) AS pct FROM documents d LEFT JOIN tot USING (doc_id) LEFT JOIN hit USING (doc_id))"""
 SQL["benchmark_recycling"] = f"WITH {_RECSUM} SELECT doc_id, sentences, flagged, v AS verbatim, pct AS overlap_pct, {_RISK} AS risk FROM rec"
 SQL["recycling_breakdown"] = f"WITH {_REC}, tot AS (SELECT l.d AS doc_id, count(*) AS n FROM sub GROUP BY ALL) SELECT doc_id, source, passages, 100.0::DOUBLE * passages / n AS pct FROM (SELECT l.d AS doc_id, r.k AS source, count(*) AS passages FROM best GROUP BY ALL) JOIN tot USING (doc_id)"
-_PAIR = "two AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), ta AS (SELECT source, text FROM two WHERE k = 1), tb AS (SELECT source AS src, text FROM two WHERE k = 2)"
-SQL["document_compare"] = f"""WITH {_PAIR}, {_shingle_rows('a', 'ta', 'source', 'text')}, {_shingle_rows('b', 'tb', 'src', 'text')}, {_jac('c', 'a', 'b', 'source', 'src', 'cj')}, {_jac('w', 'a', 'b', 'source', 'src', 'wj')}
-SELECT source, coalesce(w.j, 0) AS word_jaccard, coalesce(c.j, 0) AS char_jaccard, round(0.6 * coalesce(w.j, 0) + 0.4 * coalesce(c.j, 0), 6) AS combined, coalesce(w.j, 0) >= 0.25 AS flagged
-FROM ta JOIN tb ON src = source LEFT JOIN (SELECT source, j FROM cj WHERE source = src) c USING (source) LEFT JOIN (SELECT source, j FROM wj WHERE source = src) w USING (source)"""
-_SENT8 = f"list_filter({sentences('text')}, lambda x: len({words('x')}) >= 8)"
-SQL["compare_documents"] = f"""WITH {_PAIR}, sub AS (SELECT {{p: source, i: unnest(range(len(s)))}} AS l, unnest(s) AS sentence FROM (SELECT source, {_SENT8} AS s FROM ta)), old AS (SELECT {{p: src, i: unnest(range(len(s)))}} AS r, unnest(s) AS sentence FROM (SELECT src, {_SENT8} AS s FROM tb)),
-{_shingle_rows('l', 'sub', 'l', 'sentence')}, {_shingle_rows('r', 'old', 'r', 'sentence')}, {_jac('c', 'l', 'r', 'l', 'r', 'cj')}, {_jac('w', 'l', 'r', 'l', 'r', 'wj')},
-both_ AS (SELECT l, r, coalesce(cj.j, 0) AS c, coalesce(wj.j, 0) AS w FROM cj FULL JOIN wj USING (l, r) WHERE l.p = r.p),
-best AS (SELECT l, max({{s: greatest(c, w), c: c}}) AS m FROM both_ WHERE greatest(c, w) >= 0.25 GROUP BY l),
-rec AS (SELECT source, coalesce(n, 0) AS sentences, coalesce(f, 0) AS flagged, coalesce(v, 0) AS v, 100.0::DOUBLE * coalesce(f, 0) / greatest(coalesce(n, 0), 1) AS pct FROM ta LEFT JOIN (SELECT l.p AS source, count(*) AS n FROM sub GROUP BY ALL) USING (source) LEFT JOIN (SELECT l.p AS source, count(*) AS f, sum((m.c >= 0.35)::INT)::BIGINT AS v FROM best GROUP BY ALL) USING (source))
-SELECT source, sentences, flagged, v AS verbatim, pct AS overlap_pct, {_RISK} AS risk FROM rec"""
 _MATCH = rf"""dp AS (SELECT {{d: doc_id, i: unnest(range(len(p)))}} AS l, unnest(p) AS para FROM (SELECT doc_id, {lines('text', 30)} AS p FROM documents)),
 bp AS (SELECT {{k: item_id, i: unnest(range(len(p)))}} AS r, unnest(p) AS para FROM (SELECT item_id, {lines('text', 5)} AS p FROM benchmark)),
 {_shingle_rows('dl', 'dp', 'l', 'para')}, {_shingle_rows('br', 'bp', 'r', 'para')}, {_jac('c', 'dl', 'br', 'l', 'r', 'pcj')}, {_jac('w', 'dl', 'br', 'l', 'r', 'pwj')},
@@ -269,7 +258,6 @@ SQL["benchmark_paragraph_matches"] = f"WITH {_MATCH} SELECT l.d AS doc_id, l.i A
 _KNN = "knn AS (SELECT q.vec_id AS q, c.vec_id AS c, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM knn)"
 SQL["knn_top5"] = f"WITH {_KNN} SELECT q, c, round(s, 9) AS score, rank FROM ranked WHERE rank <= 5"
 SQL["knn_threshold"] = f"WITH {_KNN} SELECT q, c, round(s, 9) AS score FROM ranked WHERE rank = 1 AND s >= 0.30"
-SQL["semantic_compare"] = f"WITH {_KNN} SELECT label::BIGINT AS label, round(max(s), 9) AS max_cosine, round(avg(s), 9) AS mean_best FROM ranked JOIN embeddings ON vec_id = q WHERE rank = 1 GROUP BY label"
 
 # ---- cohorts (documents without headings: the section score is 0 where either side has none)
 _BATCH = rf"""{_RARE}, bw AS (SELECT doc_id, {words(r"regexp_replace(lower(text), '[^a-z\s]', '', 'g')")} AS k FROM documents), bs AS (SELECT DISTINCT doc_id, unnest({ngrams('k', 3)}) AS s FROM bw),
