@@ -260,6 +260,14 @@ def lm_perplexity(t, spark):
     return made.select("doc_id", "n", F.round("perplexity", 3).alias("perplexity"))
 
 
+@query
+def ai_ensemble(t, spark):
+    """With a language model: the default one, trained on the English documents."""
+    docs = t("documents")
+    ppl = ai.perplexity(docs, docs.where("lang = 'en'"))
+    return ai.ensemble_scores(docs, ppl.withColumn("perplexity", F.round("perplexity", 3))).select("doc_id", F.round("score", 4).alias("score"))
+
+
 # ---- coherence and token statistics -----------------------------------------------------------------------------
 
 
@@ -522,8 +530,11 @@ def document_sections(t, spark):
 
 def _report(t) -> DataFrame:
     docs = t("documents").withColumn("authors", F.array().cast("array<string>"))
-    made = index.paragraph_matches(_paragraph_sets(docs, "doc_id", "l", 30), _paragraph_sets(t("benchmark"), "item_id", "r", 5))
-    return report.analyze(docs, prior=_prior(t), matches=made)
+    return report.analyze(docs, prior=_prior(t), matches=_matches(docs, t))
+
+
+def _matches(docs: DataFrame, t) -> DataFrame:
+    return index.paragraph_matches(_paragraph_sets(docs, "doc_id", "l", 30), _paragraph_sets(t("benchmark"), "item_id", "r", 5))
 
 
 @query
@@ -541,9 +552,25 @@ def plagiarism_score(t, spark):
     return fixtures.score_cases(spark).select("case", F.round(report.plagiarism_score(F.col("j"), F.col("c")), 6).alias("score"))
 
 
+@query
+def scan_risk_rules(t, spark):
+    return fixtures.scan_cases(spark).select("case", batch.scan_risk(F.col("citation"), F.col("rate"), F.col("consistent"), F.col("ai")).alias("risk"))
+
+
+@query
+def report_lists(t, spark):
+    """How many entries a document's lists have, and the first recycled passage."""
+    docs = t("documents")
+    made = report.details(docs, prior=_prior(t), matches=_matches(docs, t))
+    n = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)).alias(c)
+    first = F.get("recycled_passages", F.lit(0))
+    return made.select("doc_id", n("ngram_matches"), n("recycled_passages"), n("source_breakdown"), first["source"].alias("first_source"), first["overlap_type"].alias("first_type"))
+
+
 @query
 def report_json(t, spark):
-    return report.to_json(_report(t))
+    docs = t("documents")
+    return report.to_json(_report(t), report.details(docs, prior=_prior(t), matches=_matches(docs, t)))
 
 
 @query

@@ -131,3 +131,11 @@ def risk_cases(spark: SparkSession) -> DataFrame:
 
 def score_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, None, None), (1, 0.3, None), (2, 0.9, None), (3, None, 0.9), (4, 0.3, 0.95), (5, 0.25, 0.85)], "case INT, j DOUBLE, c DOUBLE")
+
+
+#: Cases of the three-signal risk: citation risk, issue rate, consistent style, AI score.
+_SCAN = [("LOW", 0.0, True, 0.1), ("HIGH", 0.0, True, 0.1), ("LOW", 0.31, True, 0.1), ("LOW", 0.3, True, 0.1), ("LOW", 0.0, False, 0.1), ("MEDIUM", 0.0, True, 0.5), ("LOW", 0.0, True, 0.51), ("LOW", 0.1, True, 0.5), ("LOW", 0.11, True, 0.5)]
+
+
+def scan_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(_SCAN)], "case INT, citation STRING, rate DOUBLE, consistent BOOLEAN, ai DOUBLE")

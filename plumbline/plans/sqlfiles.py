@@ -133,3 +133,12 @@ pr AS (SELECT p.id AS a, q.id AS b, p.h AS x, q.h AS y FROM h p JOIN h q ON p.id
 sub AS (SELECT a, b, x, y, []::VARCHAR[] AS s, 0 AS i, 0 AS j, 0 AS n FROM pr
   UNION SELECT sub.a, sub.b, x, y, []::VARCHAR[], p.i, p.j, n + 1 FROM sub, LATERAL (SELECT u.i, v.j FROM (SELECT unnest(range(1, len(x) + 1)) AS i) u, (SELECT unnest(range(1, len(y) + 1)) AS j) v WHERE u.i > sub.i AND v.j > sub.j AND x[u.i] = y[v.j]) p)
 SELECT a, b, CASE WHEN max(len(x)) = 0 OR max(len(y)) = 0 THEN 0 ELSE 2.0 * max(n) / (max(len(x)) + max(len(y))) END::DOUBLE AS similarity FROM sub GROUP BY a, b"""
+
+# ---- the ensemble with a language model, the scan's risk, lists of reports
+SQL["ai_ensemble"] = f"""SELECT p.doc_id, round(0.40 * least(1.0, greatest(0.0, 1.0 - perplexity / {CFG.ppl_threshold})) + 0.30 * least(1.0, greatest(0.0, 1.0 - burstiness / {CFG.burstiness_threshold})) + 0.30 * style_score, 4) AS score
+FROM ({SQL['lm_perplexity']}) p JOIN ({SQL['burstiness']}) b USING (doc_id) JOIN ({SQL['ai_style_score']}) s USING (doc_id)"""
+_SCANS = values([(i, *c) for i, c in enumerate(X._SCAN)], "k, citation, rate, consistent, ai")
+SQL["scan_risk_rules"] = f"""SELECT k::BIGINT AS "case", CASE WHEN citation = 'HIGH' OR NOT consistent OR rate > 0.3 THEN 'HIGH' WHEN citation = 'MEDIUM' OR ai > 0.50 OR rate > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {_SCANS}"""
+SQL["report_lists"] = f"""WITH m AS ({SQL['benchmark_paragraph_matches']}), p AS ({SQL['recycling_passages']}), b AS ({SQL['recycling_breakdown']}),
+f AS (SELECT doc_id, source, overlap_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS r FROM p) WHERE r = 1)
+SELECT d.doc_id, least(20, (SELECT count(*) FROM m WHERE m.doc_id = d.doc_id)) AS ngram_matches, least(30, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)) AS recycled_passages, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS source_breakdown, f.source AS first_source, f.overlap_type AS first_type FROM documents d LEFT JOIN f USING (doc_id)"""
