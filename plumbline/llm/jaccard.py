@@ -458,7 +458,7 @@ def components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFra
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")
     salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     member = noded.select("doc_id", "doc", "n", "s1", "s2", salt.alias("salt")).join(salted.hint("merge"), ["s1", "s2", "n", "salt"], "left")
-    member = tables.materialise(member.select("doc_id", "doc", "n", F.coalesce("rep", "doc").alias("rep"), "salt", "c"), "op8-members")
+    member = tables.materialise(member.select("doc_id", "doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"), "salt", "c"), "op8-members")
     reps = noded.where("n > 0 AND doc IS NOT NULL").select("doc", "n", "prefix", "sketch").join(member.where("doc != rep").select("doc").hint("merge"), "doc", "left_anti").dropDuplicates(["doc"])
     reps = tables.materialise(reps, "op8-reps")
     tables.drop_tables(spark, signs)

@@ -490,14 +490,250 @@ def test_op9_repeated_ids_do_not_hide_others(spark):
     assert got == [(1, 21, 1.0), (2, 22, 0.5), (3, 22, 0.0)]
 
 
-def test_pipeline_small(spark, docs, tmp_path):
+def test_op1_features_and_ftrl_equal_plain_versions():
+    rows = [t or "" for _, t in corpus()[:30]] + ["You you, scoundrel!", "a b c a b c", "one", ""]
+    for b, data, off in K.chunks([pa.RecordBatch.from_pydict({"text": rows})]):
+        doc, h = toxicity.features(data, off)
+        names: dict = {}
+        for i, t in enumerate(rows):
+            w = re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+            grams = [(x,) for x in w] + [(1, *x) for x in zip(w, w[1:])] + [(2, *x) for x in zip(w, w[2:])] + [(3, *x) for x in zip(w, w[1:], w[2:])]
+            assert sorted(doc.tolist()).count(i) == len(grams)
+            for g in grams:
+                names.setdefault(g, set()).add(i)
+        by_hash: dict = {}
+        for d, x in zip(doc.tolist(), h.tolist()):
+            by_hash.setdefault(x, set()).add(d)
+        assert sorted(map(sorted, names.values())) == sorted(map(sorted, by_hash.values()))
+    rng, cfg = np.random.default_rng(2), toxicity.FtrlConfig(l1=0.3, epochs=3)
+    x = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
+    y = np.array([float(3 in r) for r in x])
+    w, bias = toxicity.ftrl(x, y, 12, cfg)
+    z, n = [0.0] * 13, [0.0] * 13
+    weight = lambda i: 0.0 if abs(z[i]) <= cfg.l1 else -(z[i] - np.sign(z[i]) * cfg.l1) / ((cfg.beta + n[i] ** 0.5) / cfg.alpha + cfg.l2)
+    for _ in range(3):
+        for r in np.random.default_rng(7).permutation(40):
+            on = [*x[r].tolist(), 12]
+            ws = {i: weight(i) for i in on}
+            g = 1 / (1 + np.exp(-sum(ws.values()))) - y[r]
+            for i in on:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / cfg.alpha * ws[i]
+                n[i] += g * g
+    assert np.allclose(w, [weight(i) for i in range(12)]) and np.isclose(bias, weight(12)) and 0 < (w != 0).sum()
+
+
+def test_op1_edges(spark):
+    rows = [(1, "x " * 50000), (2, "same"), (2, "same"), (None, "y"), (3, None)]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id LONG, text STRING, toxic INT")
+    got = toxicity.score(d, (np.zeros(0, np.uint64), np.zeros(0), 0.0)).collect()
+    assert len(got) == 5 and all(r.score == 0.5 for r in got)
+
+
+def test_op4_scores_and_labels_equal_plain_versions(spark):
+    rng = random.Random(14)
+    vocab = {"en": "the and that with which under harbour winter".split(), "fr": "le les des avec pour hiver château été".split(), "ru": "и в не на что зима город".split()}
+    rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(30)), k) for i, k in enumerate(list(vocab) * 20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"))
+    names, cfg = model["names"], model["cfg"]
+    asked = ["the harbour château été 12 город зима", "le les " * 30 + "under that " * 30, "--", "", "Été THE", "что " * 5000, "le le"]
+    for b, data, off in K.chunks([pa.RecordBatch.from_pydict({"text": asked})]):
+        s, e, wptr, grams, w, n_letters, top = language._look(data, off)
+        scores = language.emissions(model, s, e, grams, w, n_letters, top)
+        for i, (a, z) in enumerate(zip(s, e)):
+            word = data[a:z].tobytes().decode()
+            assert n_letters[i] == sum(c.isalpha() for c in word)
+            plain = np.array([0.5 * model["grams"][grams[a:z], k].astype(float).sum() + model["words"][w[i], k] for k in range(len(names))])
+            can = model["scripts"][top[i]]
+            plain = np.where(can | ~can.any(), plain, -1e3)
+            plain = np.maximum(plain - plain.max(), cfg.floor)
+            plain = np.where(can | ~can.any(), plain, 2 * cfg.floor)
+            assert np.allclose(scores[i], plain if n_letters[i] else 0, atol=1e-3)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(asked)] + [(1, asked[1], "clash"), (None, asked[0], None)], "doc_id LONG, text STRING, lang_pred STRING")
+    got = [(r.doc_id, r.lang_pred, r.score, r.n_spans) for r in language.predict(df, model).collect()]
+    assert len(got) == 9 and got[1] == got[7] and got[0][1:] == got[8][1:] and [g[1] for g in got[2:4]] == ["und", "und"]
+    assert got[5][1:3] == ("ru", 1.0) and got[6][1] == "fr" and abs(got[1][2] - 0.64) < 0.01
+    both = language.annotate(df, model).collect()
+    assert [(r["__lang_pred"], r["__lang_score"], r.lang_pred) for r in both[:8]] == [(g[1], g[2], "clash") for g in got[:8]]
+
+
+DOCS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, told STRING, component_id STRING, kept BOOLEAN"
+
+
+def pipeline_rows():
+    rng = random.Random(31)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    line = lambda k: " ".join(rng.choice(vocab) for _ in range(k)).capitalize() + "."
+    shared = line(60)
+    rows = [(i, "\n".join(line(rng.randint(15, 40)) for _ in range(4)) + ("\n" + shared if i % 4 == 0 else "")) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    rows += [(110 + i, rows[i][1].replace(" ", " x ", 1)) for i in range(5, 10)]
+    rows += [(120, "Home | News | About | Contact\n" * 5 + rows[11][1][:200] + " " + line(60)), (121, "Read more\n" + line(80)), (122, "$$$ ### %%%\n" * 40), (123, "too short."), (124, None), (125, ""), (126, "12 34 " * 40), (127, line(3000))]
+    rng.shuffle(rows)
+    return rows
+
+
+def quality_plain(t):
+    """(kept, clean text) by the line rules in plain Python."""
+    words = re.findall(WS, t)
+    tri = [tuple(words[p : p + 3]) for p in range(len(words) - 2)]
+    many = {g for g, c in __import__("collections").Counter(tri).items() if c > 1}
+    rep = {q for p, g in enumerate(tri) if g in many for q in (p, p + 1, p + 2)}
+    lost, lines = 0, [x for x in t.split("\n") if re.search(WS, x)]
+
+    def bad(x):
+        w = re.findall(WS, x)
+        n, count = len(w), lambda c: sum(x.count(y) for y in c)
+        phrase = len(x) - len(re.sub(quality.BOILERPLATE, "", x))
+        return (count("#*$%&<>{}=~^_\\") >= 0.5 * n or (count("!?") >= 0.5 * n and n >= 3) or (count("|»•·") >= 3 and (n - count("|»•·")) / (count("|»•·") + 1) <= 3) or (n <= 40 and phrase >= 0.3 * len(x))
+                or (n <= 3 and len(x) < 40 and not re.search(quality.ENDING.replace("\\z", "\\Z"), x)) or (n >= 10 and len(set(w)) < 0.15 * n))
+
+    keep = [x for x in lines if not bad(x)]
+    lost = sum(len("".join(re.findall(WS, x))) for x in lines if bad(x))
+    kept = not (len(words) < 50 or 100 * len(rep) > 50 * len(words)) and not lost > 0.5 * len("".join(words))
+    return kept, "\n".join(keep) if len(keep) < len(lines) else t
+
+
+def replay(rows, capacity=4096):
+    """What the pipeline's packing holds, by brute force: {(doc_id, piece): (length, crc)}."""
+    from tokenizers import Tokenizer
+
+    rows = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]  # one language: every text with a letter stays
+    rows = [(i, c) for i, t in rows for kept, c in [quality_plain(t)] if kept]
+    sets = {i: {tuple(w[p : p + 5]) for p in range(len(w) - 4)} for i, t in rows for w in [re.findall(WS, t.lower())]}
+    low = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    rows = [(i, t) for i, t in rows if low[i] == i]
+    seen, cut = set(), []
+    for i, t in sorted(rows):
+        b = t.encode()
+        mark, own = bytearray(len(b)), set()
+        for p in range(len(b) - 49):
+            if b[p : p + 50] in seen:
+                mark[p : p + 50] = b"\1" * 50
+            own.add(b[p : p + 50])
+        seen |= own
+        cut.append((i, bytes(c for c, m in zip(b, mark) if not m).decode("utf-8", "ignore")))
+    tok, out = Tokenizer.from_file(tokens.default_path()), {}
+    for i, t in cut:
+        if t:
+            ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+            out |= {(i, k): (len(x := ids[k * capacity : (k + 1) * capacity]), zlib.crc32(x.tobytes())) for k in range(-(-len(ids) // capacity))}
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    d = spark.createDataFrame([(i, t, None if i % 2 else "xx", "s", len(t or "")) for i, t in corpus()], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    rows = pipeline_rows()
+    d = spark.createDataFrame([(i, t, None if i % 5 == 0 else "xx", "s", len(t or ""), "a", "b", True) for i, t in rows], DOCS)
     d.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert len(out) and set(out.doc_id) <= {i for i, t in corpus() if t and re.search(r"[^\W\d_]", t)}
+    want = replay(rows)
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in out.itertuples()} == want and len(want) == len(out)
+    assert {i for i, _ in want}.isdisjoint({100, 101, 110, 111, 122, 123, 124, 125, 126}) and 121 in {i for i, _ in want}
+    counts = np.bincount(out.length, minlength=4097)
+    assert out.sequence_id.nunique() == packing.lower_bound(counts, 4096)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "passages", "packing"]
-    stage = corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path))
-    assert stage.columns == d.columns and stage.where("doc_id >= 100 AND doc_id < 112 AND doc_id % 2 = 0").count() == 0
-    assert docs.where(F.col("text").isNull()).count() == 1
+
+
+def test_pipeline_stages_edges(spark, tmp_path):
+    """Null ids, repeated rows and ids, null columns, clashing names, an empty table: columns kept, nothing lost that isn't rejected."""
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"w{i}x{k}y" for k in range(30)) + "." for i in range(3))
+    rows = [(1, text), (1, text), (None, text), (2, text), (3, None), (4, "Other " + text[::-1])]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    made = {name: stage[name](spark, d, "") for name in ("language", "quality", "near_duplicates", "passages")}
+    assert all(df.columns == d.columns and df.dtypes == d.dtypes for df in made.values())
+    assert ids(made["language"]) == [-1, 1, 1, 2, 4] and ids(made["quality"]) == [-1, 1, 1, 2, 4]
+    assert ids(made["near_duplicates"]) == [-1, 1, 1, 3, 4] and ids(made["passages"]) == [-1, 1, 1, 4]
+    none = spark.createDataFrame([], DOCS)
+    assert all(stage[name](spark, none, "").count() == 0 for name in stage)
+
+
+def test_op8_repeated_and_null_ids(spark):
+    a, b, c = ("p q r s t u v w x y".split(), "k l m n o p a b c d".split(), "one two three four five six".split())
+    join = " ".join
+    rows = [(5, join(a)), (5, join(a)), (5, join(b)), (7, join(b)), (9, join(a)), (9, ""), (None, join(a)), (3, join(c)), (11, None), (12, "solo"), (12, "SOLO")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id LONG, text STRING, component_id INT")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(d).collect())
+    assert got == sorted([(5, 7, 5), (5, 7, 5), (5, 7, 5), (7, 7, 5), (9, 7, 5), (9, 0, 5), (-1, 7, None), (3, 3, 3), (11, 0, 11), (12, 1, 12), (12, 1, 12)])
+
+
+def test_op8_group_of_near_copies_stays_linear(spark, monkeypatch):
+    """2,000 near copies of one text: what is sent to be verified grows with the rows, not with their pairs."""
+    from plumbline import tables
+
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(160)] = f"z{rng.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    counted, write = {}, tables.materialise
+
+    def count(df, name):
+        out = write(df, name)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(tables, "materialise", count)
+    d = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.components(d, jaccard.JaccardConfig(block=256)).collect()}
+    sets = [{tuple(w[p : p + 4]) for p in range(157)} for _, t in rows for w in [t.split()]]
+    low = list(range(2000))
+    of: dict = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            of.setdefault(g, []).append(i)
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i, x in enumerate(sets):
+        common = __import__("collections").Counter(j for g in x for j in of[g] if j < i)
+        for j, c in common.items():
+            if 100 * c >= 85 * (len(x) + len(sets[j]) - c) and find(i) != find(j):
+                low[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(2000)}
+    assert counted.get("op8-pairs", 0) + counted["op8-links"] <= 20 * 2000
+
+
+def test_empty_tables_and_repeated_rows_of_the_encoders(spark, none):
+    assert bpe.digest(none).count() == 0 and quality.clean(none).count() == 0
+    rows = [(1, "same text"), (1, "same text"), (None, "no id"), (2, "a" * 20000), (3, "x  \n\n y")]
+    d = spark.createDataFrame([(*r, 0) for r in rows], "doc_id LONG, text STRING, n_tokens INT")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.decoded_sha256) for r in bpe.digest(d).collect())
+    assert got == sorted((-1 if i is None else i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_path())
+    files = sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens) for r in tokenfiles.digest(d).collect())
+    n = [len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in ("no id", "same text", "same text", "a" * 20000, "x y")]
+    assert files == [(i, sum(n[:k]), n[k]) for k, i in enumerate((-1, 1, 1, 2, 3))]
+    packed = packing.pack(d).toPandas()
+    assert len(packed) == 5 + (n[3] - 1) // 4096 and packed.length.sum() == sum(n)
+    for op, cols in ((substring.dedup, ("n_words", "n_removed")), (suffix.dedup, ("n_bytes", "n_removed"))):
+        rows2 = [(1, "word " * 60), (1, "word " * 60), (None, "word " * 60)]
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r[cols[1]]) for r in op(spark.createDataFrame(rows2, "doc_id LONG, text STRING")).collect())
+        assert got[0] == (-1, 0) and got[1] == got[2]
+
+
+def test_pipeline_drops_near_copies_of_eighty_percent(spark):
+    import corpus_pipeline
+
+    a = [f"w{i}" for i in range(100)]
+    b, c = list(a), list(a)
+    b[30] = b[60] = "other"  # five-word Jaccard 86 / 106
+    c[20] = c[40] = c[60] = "else"  # 81 / 111
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((a, b, c))], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
