@@ -31,17 +31,6 @@ def test_semantic_compare_takes_every_row(spark, tmp_path):
     assert S.compare_groups(df.where("false").select(df.vec_id.alias("id"), "label", df.embedding.alias("v"))).count() == 0
 
 
-def test_pipeline_drops_near_copies_of_eighty_percent(spark):
-    import corpus_pipeline
-
-    a = [f"w{i}" for i in range(100)]
-    b, c = list(a), list(a)
-    b[30] = b[60] = "other"  # five-word Jaccard 86 / 106
-    c[20] = c[40] = c[60] = "else"  # 81 / 111
-    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((a, b, c))], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
-
-
 def test_document_pairs_cover_every_document(spark, tmp_path):
     text = lambda k: " ".join(f"{'abcdefgh'[k]}{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(40)) + "."
     rows = [(1, text(0), "x"), (2, text(1), "x"), (3, text(2), "x"), (4, text(3), "x"), (5, text(2) + " More was said.", "x"), (6, text(1), "x"), (7, text(2), "y"), (8, text(4), "y")]
