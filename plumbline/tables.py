@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local default only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/plumbline-checkpoints").rstrip("/")
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where it is unset and all runs here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file:///tmp/plumbline-checkpoints"
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
