@@ -265,7 +265,9 @@ def ai_ensemble(t, spark):
     """With a language model: the default one, trained on the English documents."""
     docs = t("documents")
     ppl = ai.perplexity(docs, docs.where("lang = 'en'"))
-    return ai.ensemble_scores(docs, ppl.withColumn("perplexity", F.round("perplexity", 3))).select("doc_id", F.round("score", 4).alias("score"))
+    made = ai.ensemble_scores(docs, ppl)
+    # of rounded signals, so that the last digits of sums don't decide a rounding
+    return made.select("doc_id", F.round(ai.ensemble(F.round("perplexity", 3), F.round("burstiness", 6), F.round("style_score", 6)), 4).alias("score"))
 
 
 # ---- coherence and token statistics -----------------------------------------------------------------------------

@@ -142,3 +142,50 @@ SQL["scan_risk_rules"] = f"""SELECT k::BIGINT AS "case", CASE WHEN citation = 'H
 SQL["report_lists"] = f"""WITH m AS ({SQL['benchmark_paragraph_matches']}), p AS ({SQL['recycling_passages']}), b AS ({SQL['recycling_breakdown']}),
 f AS (SELECT doc_id, source, overlap_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS r FROM p) WHERE r = 1)
 SELECT d.doc_id, least(20, (SELECT count(*) FROM m WHERE m.doc_id = d.doc_id)) AS ngram_matches, least(30, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)) AS recycled_passages, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS source_breakdown, f.source AS first_source, f.overlap_type AS first_type FROM documents d LEFT JOIN f USING (doc_id)"""
+
+# ---- lexical diversity: the fold over words as a reduction with a state
+_START = "{n: 0, size: 0, seen: []::VARCHAR[]}"
+
+
+def _factors(w: str) -> str:
+    seen = "list_distinct(list_concat(acc.seen, x.seen))"
+    step = f"CASE WHEN len({seen})::DOUBLE / (acc.size + 1) <= 0.72 THEN {{n: acc.n + 1, size: 0, seen: []::VARCHAR[]}} ELSE {{n: acc.n, size: acc.size + 1, seen: {seen}}} END"
+    return f"list_reduce(list_transform({w}, lambda y: {{n: 0, size: 0, seen: [y]}}), lambda acc, x: {step}, {_START})"
+
+
+SQL["mtld"] = f"""WITH w AS (SELECT doc_id, {words('lower(text)')} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, {_factors('w')} AS a, {_factors('list_reverse(w)')} AS b FROM w WHERE len(w) >= 50)
+SELECT w.doc_id, round(coalesce((f.n::DOUBLE / (a.n + (a.size > 0)::INT) + f.n::DOUBLE / (b.n + (b.size > 0)::INT)) / 2, 0), 6) AS mtld FROM w LEFT JOIN f USING (doc_id)"""
+
+# ---- references against the registry
+_REFS = values([(d, i, raw, a, y, t, o, k) for d, i, raw, a, y, t, o, k in X._REFS], "doc_id, ref_idx, raw, authors, year, title, doi, cite_key")
+_REGISTRY = values([(d, s, t, [f"{f} {g[:1]}" for f, g in a], y, j) for d, s, t, a, y, j, _ in X._REGISTRY], "doi, status, title, authors, year, journal")
+_RAW_TITLE = rf"list_filter(list_transform((string_split_regex(raw, '\.\s+'))[2:3], lambda x: {strip('x')}), lambda x: length(x) > 10 AND length(x) < 200 AND NOT regexp_matches(x, '^(19|20)\d{{2}}'))[1]"
+
+
+def _alike(a: str, b: str) -> str:
+    x, y = f"list_distinct({tokens(a, 3)})", f"list_distinct({tokens(b, 3)})"
+    return f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0 WHEN len({x}) + len({y}) = 0 THEN 1 ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
+
+
+def _verdicts(offline: bool) -> str:
+    doi_of = "NULL::VARCHAR" if offline else "nullif(doi, '')"
+    hits = "SELECT doc_id, ref_idx, NULL::VARCHAR AS hit FROM ref WHERE false" if offline else f"""SELECT doc_id, ref_idx, hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY sim DESC, hit) AS r FROM (
+ SELECT doc_id, ref_idx, g.doi AS hit, {_alike('ref.claimed', 'g.title')} AS sim FROM ref JOIN reg g ON len(list_intersect({tokens('ref.claimed', 3)}, {tokens('g.title', 3)})) > 0 WHERE ref.doi IS NULL AND claimed IS NOT NULL AND g.status = 200 AND g.title IS NOT NULL) WHERE sim >= {CFG.min_title_similarity}) WHERE r = 1"""
+    return rf"""ref AS (SELECT doc_id::BIGINT AS doc_id, ref_idx::BIGINT AS ref_idx, raw, authors::VARCHAR[] AS authors, year, {doi_of} AS doi, coalesce(CASE WHEN title <> '' THEN title END, {_RAW_TITLE}) AS claimed FROM {_REFS}),
+reg AS (SELECT doi, status, title, authors::VARCHAR[] AS authors, year FROM {_REGISTRY}), hits AS ({hits}),
+asked AS (SELECT ref.*, hit, coalesce(ref.doi, hit) AS asked FROM ref LEFT JOIN hits USING (doc_id, ref_idx)),
+met AS (SELECT a.*, g.status, g.title AS r_title, g.authors AS r_authors, g.year AS r_year, CASE WHEN hit IS NOT NULL THEN g.title ELSE claimed END AS title FROM asked a LEFT JOIN reg g ON g.doi = a.asked),
+off_ AS (SELECT *, coalesce(status = 200, false) AS ok, coalesce(status = 200 AND year <> '' AND year <> r_year, false) AS y, coalesce(status = 200 AND title <> '' AND r_title <> '' AND {_alike('lower(title)', 'lower(r_title)')} < {CFG.min_title_similarity}, false) AS t,
+ coalesce(status = 200 AND NOT contains(string_split_regex(lower(r_authors[1]), '\s+')[1], list_filter(string_split_regex(lower(authors[1]), '\s+'), lambda x: x <> '')[-1]), false) AS a FROM met),
+judged AS (SELECT *, (100 - 30 * y::INT - 35 * t::INT - 20 * a::INT) / 100.0::DOUBLE AS conf, asked IS NULL AS none, coalesce(status, 404) = 404 AS missing FROM off_),
+verdicts AS (SELECT doc_id, ref_idx, CASE WHEN none THEN 'NO_DOI' WHEN missing THEN 'HALLUCINATED' WHEN NOT ok THEN 'UNRESOLVABLE' WHEN (y OR t OR a) AND conf < 0.3 THEN 'HALLUCINATED' WHEN y OR t OR a THEN 'MISMATCH' ELSE 'VALID' END AS verdict,
+ CASE WHEN none AND {str(not offline).lower()} AND coalesce(claimed, '') <> '' THEN 0.4 WHEN none THEN 0.5 WHEN missing THEN 0.95 WHEN NOT ok THEN 0.0 ELSE conf END::DOUBLE AS confidence,
+ concat_ws(';', CASE WHEN none THEN 'no_doi' END, CASE WHEN NOT none AND missing THEN 'not_in_registry' END, CASE WHEN NOT none AND NOT missing AND NOT ok THEN 'status' END, CASE WHEN y THEN 'year' END, CASE WHEN t THEN 'title' END, CASE WHEN a THEN 'first_author' END) AS issues,
+ CASE WHEN NOT none THEN asked END AS doi, CASE WHEN ok THEN r_title END AS resolved_title FROM judged)"""
+
+
+SQL["citation_verdicts"] = f"WITH {_verdicts(False)} SELECT * FROM verdicts"
+SQL["citation_verdicts_offline"] = f"WITH {_verdicts(True)} SELECT doc_id, ref_idx, verdict, confidence FROM verdicts"
+_COUNTS = ", ".join(f"count(*) FILTER (verdict = '{n}') AS {n.lower()}" for n in ("VALID", "MISMATCH", "HALLUCINATED", "UNRESOLVABLE", "NO_DOI"))
+SQL["citation_summary"] = f"""WITH {_verdicts(False)}, c AS (SELECT doc_id, count(*) AS total, {_COUNTS} FROM verdicts GROUP BY doc_id)
+SELECT *, 1.0 - (hallucinated + mismatch)::DOUBLE / total AS integrity, (hallucinated + mismatch + unresolvable)::DOUBLE / total AS issue_rate, CASE WHEN hallucinated > 0 THEN 'HIGH' WHEN mismatch > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c"""
