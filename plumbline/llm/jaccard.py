@@ -311,7 +311,8 @@ def _meet(lists: DataFrame, cfg: JaccardConfig, within: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
     cols = ["key", "doc", "n", "pos", "grp", "side", "piv", "sketch"] + ["delta"] * within
-    dealt = lists.select(*cols).repartition(tables.partitions(lists.sparkSession), "key").sortWithinPartitions("key")
+    # no fixed number of tasks: adaptive execution joins small ones
+    dealt = lists.select(*cols).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
