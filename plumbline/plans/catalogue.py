@@ -566,7 +566,7 @@ def report_lists(t, spark):
     made = report.details(docs, prior=_prior(t), matches=_matches(docs, t))
     n = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)).alias(c)
     first = F.get("recycled_passages", F.lit(0))
-    return made.select("doc_id", n("ngram_matches"), n("recycled_passages"), n("source_breakdown"), first["source"].alias("first_source"), first["overlap_type"].alias("first_type"))
+    return made.select("doc_id", n("ngram_matches"), n("recycled_passages"), n("source_breakdown"), F.coalesce(first["source"], F.lit(-1)).alias("first_source"), F.coalesce(first["overlap_type"], F.lit("")).alias("first_type"))
 
 
 @query

@@ -141,7 +141,7 @@ _SCANS = values([(i, *c) for i, c in enumerate(X._SCAN)], "k, citation, rate, co
 SQL["scan_risk_rules"] = f"""SELECT k::BIGINT AS "case", CASE WHEN citation = 'HIGH' OR NOT consistent OR rate > 0.3 THEN 'HIGH' WHEN citation = 'MEDIUM' OR ai > 0.50 OR rate > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {_SCANS}"""
 SQL["report_lists"] = f"""WITH m AS ({SQL['benchmark_paragraph_matches']}), p AS ({SQL['recycling_passages']}), b AS ({SQL['recycling_breakdown']}),
 f AS (SELECT doc_id, source, overlap_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS r FROM p) WHERE r = 1)
-SELECT d.doc_id, least(20, (SELECT count(*) FROM m WHERE m.doc_id = d.doc_id)) AS ngram_matches, least(30, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)) AS recycled_passages, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS source_breakdown, f.source AS first_source, f.overlap_type AS first_type FROM documents d LEFT JOIN f USING (doc_id)"""
+SELECT d.doc_id, least(20, (SELECT count(*) FROM m WHERE m.doc_id = d.doc_id)) AS ngram_matches, least(30, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)) AS recycled_passages, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS source_breakdown, coalesce(f.source, -1) AS first_source, coalesce(f.overlap_type, '') AS first_type FROM documents d LEFT JOIN f USING (doc_id)"""
 
 # ---- lexical diversity: the fold over words as a reduction with a state
 _START = "{n: 0, size: 0, seen: []::VARCHAR[]}"
