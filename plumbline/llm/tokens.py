@@ -4,8 +4,8 @@ The tokenizer of ``word_bpe_49k.json`` lower-cases, drops white space and merges
 within runs of letters or of marks, so the ids of a text are those of its pieces
 in order, where pieces end at white space and between an ASCII letter or digit
 and an ASCII mark (not at apostrophes, which make contractions, nor at < | >,
-which special tokens hold). A task keeps the pieces it has met, compared byte by byte, with their ids in
-one flat array, and starts anew when ``LIMIT`` pieces or ``ROOM`` bytes of them are held, so its memory is bounded.
+which special tokens hold). A worker process keeps the pieces it has met, compared byte by byte, with their ids in
+one flat array, over its tasks, and starts anew when ``LIMIT`` pieces or ``ROOM`` bytes of them are held, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from . import kernels as K
 
 U64 = K.U64
-#: Pieces that a task holds at most, and bytes of them.
+#: Pieces that a worker holds at most, and bytes of them.
 LIMIT, ROOM = 700_000, 64 << 20
 
 
@@ -83,13 +83,23 @@ class PieceEncoder:
         return self.pool[K.ranges(self.start[slot], n)], np.concatenate([[0], np.cumsum(n)])[ptr]
 
 
-def word_encoder(path: str) -> PieceEncoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    os.environ["RAYON_NUM_THREADS"] = "1"
-    from tokenizers import Tokenizer
+#: The encoder that this worker process used last, by tokenizer file: what a task has met, the next one need not encode.
+_last: dict[tuple, PieceEncoder] = {}
+
 
-    tok = Tokenizer.from_file(path)
-    return PieceEncoder(lambda pieces: [x.ids for x in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+def word_encoder(path: str) -> PieceEncoder:
+    """The encoder of a tokenizer file, kept for the tasks that follow in the same process; ``LIMIT`` and ``ROOM`` bound it there too."""
+    about = os.stat(path)
+    key = (path, about.st_mtime_ns, about.st_size)
+    if key not in _last:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["RAYON_NUM_THREADS"] = "1"
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        _last.clear()
+        _last[key] = PieceEncoder(lambda pieces: [x.ids for x in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+    return _last[key]
 
 
 def with_end(ids: np.ndarray, ptr: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

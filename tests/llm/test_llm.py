@@ -263,6 +263,25 @@ def test_op2_damage_is_noticed(docs, tmp_path):
     assert manifest.count() >= 1
 
 
+def test_op2_pieces_are_kept_between_tasks(monkeypatch):
+    """A worker's next task finds the pieces of the last one encoded, within the same limits and with the same ids."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["Kept pieces, kept ids.", "x" * 50 + " <|y|> don't"]
+    raw = [x.encode() for x in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [i for x in texts for i in tok.encode(x, add_special_tokens=False).ids]
+    assert tokens.word_encoder(path).ids(data, off)[0].tolist() == want
+    again = tokens.word_encoder(path)
+    met = again.known.count
+    assert met > 0 and again.ids(data, off)[0].tolist() == want and again.known.count == met
+    monkeypatch.setattr(tokens, "LIMIT", 2)
+    for _ in range(3):
+        assert tokens.word_encoder(path).ids(data, off)[0].tolist() == want and again.known.count == met
+
+
 def test_op6_equals_library(docs):
     import public_tokenizers as P
     import regex
