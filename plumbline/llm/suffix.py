@@ -5,7 +5,7 @@ buckets. A bucket cuts its distinct stretches into shards and sorts each shard's
 suffixes once, by their first ``size`` symbols, for its BWT. The merge never
 compares suffixes again. It keeps an interleave: for each place of the merged
 order the shard that the row comes from, the rows of a shard being in its own
-order. From an interleave right by h - 1 symbols, one pass along the BWT
+order. The first is right by the symbols that one key holds (7). From an interleave right by h - 1 symbols, one pass along the BWT
 columns, stably sorted by the symbols read, gives the one right by h. A boundary
 that first shows in pass h means a common prefix of h - 1 symbols with the row in front.
 Rows alone between two boundaries are settled and leave the merge. After ``size``
@@ -28,11 +28,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import anchors, kernels as K
 
-#: Bytes of one shard, and of what a bucket merges at once.
-SHARD, PART = 1 << 19, 1 << 22
+#: Bytes of one shard, and of what a bucket merges at once: some MB of arrays, which caches hold.
+SHARD, PART = 1 << 16, 1 << 18
 _STEP = 7
 
 
+def _keys(sym: np.ndarray) -> np.ndarray:
+    """The first ``_STEP`` symbols of each suffix as one number; behind a string's end there is nothing."""
+    n = len(sym)
+    padded = np.concatenate([sym, np.zeros(_STEP, np.uint16)])
+    key, alive = np.zeros(n, np.int64), np.ones(n, np.uint16)
+    for j in range(_STEP):
+        x = padded[j : j + n] * alive
+        key <<= 9
+        key |= x
+        np.not_equal(x, 0, out=alive, casting="unsafe")
+    return key
+
+
 class Shard:
     """BWT of a collection of byte strings; every string ends in a symbol below all bytes."""
 
@@ -44,6 +57,7 @@ class Shard:
         self.of = np.repeat(np.arange(first, first + len(size), dtype=np.int32), size + 1)
         self.at = (np.arange(len(sym)) - np.repeat(ends - size, size + 1)).astype(np.int32)
         sa = self.sort(sym, depth)
+        self.key = _keys(sym)[sa]
         rank = np.empty(len(sa), np.int32)
         rank[sa] = np.arange(len(sa))
         before = sa - 1
@@ -53,15 +67,9 @@ class Shard:
 
     @staticmethod
     def sort(sym: np.ndarray, depth: int) -> np.ndarray:
-        """Suffixes in the order of their first ``depth`` symbols or more, a string's end below all; ties stay as they stand."""
-        n = len(sym)
-        padded = np.concatenate([sym, np.zeros(_STEP, np.uint16)])
-        key, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(_STEP):
-            x = np.where(alive, padded[j : j + n], 0)
-            key = key << 9 | x
-            alive &= x > 0
-        sa = np.argsort(key, kind="stable")
+        """Suffixes in the order of their first ``depth`` symbols or more, a string's end below all; ties are in any order."""
+        n, key = len(sym), _keys(sym)
+        sa = np.argsort(key)
         k = key[sa]
         new = np.concatenate([[True], k[1:] != k[:-1]])
         # suffixes that tie and go on, sorted again by their next symbols; a string that ended stays in its place
@@ -87,31 +95,53 @@ def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     base = np.cumsum([0, *(len(s.bwt) for s in shards)])
     bwt = np.concatenate([s.bwt for s in shards])
+    if bwt.max() < 256:
+        bwt = bwt.astype(np.uint8)  # sorted in one pass instead of two
     lf = np.concatenate([np.where(s.lf >= 0, s.lf + np.int32(b), np.int32(-1)) for s, b in zip(shards, base)])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(base))
-    rows, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
     lcp = np.full(base[-1], -1, np.int16)
-    for h in range(1, size + 1):
+    # the first interleave, right by ``start`` symbols: the shards' rows merged by the symbols that one key holds
+    start = min(_STEP, size - 1)
+    key = np.concatenate([s.key for s in shards]) >> 9 * (_STEP - start)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.uint16), np.diff(base))[order]
+    rows = np.empty(base[-1], np.int32)
+    rows[np.argsort(interleave, kind="stable")] = np.arange(base[-1], dtype=np.int32)
+    edge = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    at = np.flatnonzero(edge[1:-1]) + 1
+    apart = key[at] ^ key[at - 1]
+    lcp[rows[0]] = 0
+    lcp[rows[at]] = sum((apart >> 9 * j == 0).astype(np.int16) for j in range(start))
+    more = ~(edge[:-1] & edge[1:])
+    if start:
+        more &= key & 511 > 0
+    block = np.cumsum(edge[:-1], dtype=np.int32)[more]
+    rows, interleave = rows[more], interleave[more]
+    stepped = np.zeros(base[-1], bool)
+    for h in range(start + 1, size + 1):
         sym = bwt[rows]
-        on = sym > 0
-        sym, block, interleave = sym[on], block[on], interleave[on]
-        stepped = np.zeros(base[-1], bool)
-        stepped[lf[rows[on]]] = True
-        order = np.argsort(sym, kind="stable")
-        sym, block, interleave = sym[order], block[order], interleave[order]
-        if not len(sym):
+        # strings that begin here come first, and go no further
+        order = np.argsort(sym, kind="stable")[len(sym) - np.count_nonzero(sym) :]
+        if not len(order):
             return np.zeros(0, np.int32), np.zeros(0, np.int16)
+        to = lf[rows]
+        stepped[to[order]] = True
+        sym, block, interleave = sym[order], block[order], interleave[order]
         # the k-th place of a shard is the k-th of its rows
         rows = np.empty(len(sym), np.int32)
-        for i in range(len(shards)):
-            rows[interleave == i] = np.flatnonzero(stepped[base[i] : base[i + 1]]) + base[i]
-        edge = np.concatenate([[True], (sym[1:] != sym[:-1]) | (block[1:] != block[:-1])])
-        first = rows[edge]
+        rows[np.argsort(interleave, kind="stable")] = there = np.flatnonzero(stepped)
+        stepped[there] = False
+        edge = np.empty(len(sym) + 1, bool)
+        edge[0] = edge[-1] = True
+        np.not_equal(sym[1:], sym[:-1], out=edge[1:-1])
+        edge[1:-1] |= block[1:] != block[:-1]
+        first = rows[edge[:-1]]
         first = first[lcp[first] < 0]
         lcp[first] = h - 1
-        alone = edge & np.append(edge[1:], True)
-        block = (np.cumsum(edge, dtype=np.int32) - np.int32(1))[~alone]
-        rows, interleave = rows[~alone], interleave[~alone]
+        block = np.cumsum(edge[:-1], dtype=np.int32)
+        more = ~(edge[:-1] & edge[1:])
+        if not more.all():
+            rows, block, interleave = rows[more], block[more], interleave[more]
     return rows, lcp[rows]
 
 

@@ -206,6 +206,25 @@ def test_op5_merge_equals_direct_sort():
     assert {frozenset(v) for v in got.values()} == want
 
 
+def test_op5_merge_skips_what_keys_settle(monkeypatch):
+    """Text without a repeat is settled by the keys: the merge sorts each row a few times, not once for each pass."""
+    rng = random.Random(11)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(400)) for _ in range(20)] + [b"\xff\xfe" * 30, "é".encode() * 60, b"ab"]
+    shards = [suffix.Shard(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.array([len(x) for x in texts[i:j]]), i, 50) for i, j in ((0, 9), (9, 21), (21, 23))]
+    sorted_, plain = [], np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda x, **how: sorted_.append(len(x)) or plain(x, **how))
+    block, of, at = suffix.repeated_windows(shards, 50)
+    assert sum(sorted_) <= 4 * sum(len(s.bwt) for s in shards)
+    places: dict = {}
+    for k, x in enumerate(texts):
+        for p in range(len(x) - 49):
+            places.setdefault(x[p : p + 50], set()).add((k, p))
+    got: dict = {}
+    for b, k, p in zip(block.tolist(), of.tolist(), at.tolist()):
+        got.setdefault(b, set()).add((k, p))
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in places.values() if len(v) > 1} != set()
+
+
 def test_op8_brute_force(docs, none):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
