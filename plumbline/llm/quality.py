@@ -57,19 +57,28 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_fails(line: Column, cfg: LineRules) -> Column:
-    """Whether the rules remove a line; lines without a word stay."""
-    words = F.array_remove(F.split(line, _WS), "")
+#: Every character that a rule of ``line_fails`` counts.
+_COUNTED = r"[#*$%&<>{}=~^_\\!?|»•·]"
+
+
+def line_fails(line: Column, words: Column, cfg: LineRules) -> Column:
+    """Whether the rules remove a line with words; both columns are read several times, so they should be bound."""
     n = F.greatest(F.size(words), F.lit(1))
     symbols, marks, links = _count(line, r"[#*$%&<>{}=~^_\\]"), _count(line, r"[!?]"), _count(line, "[|»•·]")
     return (
-        (symbols >= cfg.symbols_per_word * n)
-        | ((marks >= cfg.marks_per_word * n) & (n >= 3))
-        | ((links >= cfg.separators) & ((n - links) / (links + 1) <= cfg.words_per_link))
-        | ((n <= cfg.boilerplate_words) & (_count(line, BOILERPLATE) >= cfg.boilerplate_share * F.length(line)))
+        # a line without any of the characters is read once for the three rules
+        (
+            line.rlike(_COUNTED)
+            & (
+                (symbols >= cfg.symbols_per_word * n)
+                | ((n >= 3) & (marks >= cfg.marks_per_word * n))
+                | ((links >= cfg.separators) & ((n - links) / (links + 1) <= cfg.words_per_link))
+            )
+        )
         | ((n <= cfg.stub_words) & (F.length(line) < cfg.stub_chars) & ~line.rlike(ENDING))
         | ((n >= cfg.repeat_words) & (F.size(F.array_distinct(words)) < cfg.min_vocabulary * n))
-    ) & line.rlike(_HAS_WORD)
+        | ((n <= cfg.boilerplate_words) & (_count(line, BOILERPLATE) >= cfg.boilerplate_share * F.length(line)))
+    )
 
 
 def clean(docs: DataFrame, cfg: LineRules = LineRules()) -> DataFrame:
@@ -84,7 +93,8 @@ def clean(docs: DataFrame, cfg: LineRules = LineRules()) -> DataFrame:
     w = F.col("__q1.w")
     n = F.size(w)
     tri = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.transform(F.filter(F.col("__q1.l"), lambda x: x.rlike(_HAS_WORD)), lambda x: F.struct(x.alias("line"), line_fails(x, cfg).alias("bad")))
+    split = F.transform(F.filter(F.col("__q1.l"), lambda x: x.rlike(_HAS_WORD)), lambda x: F.struct(x.alias("line"), F.array_remove(F.split(x, _WS), "").alias("words")))
+    lines = F.transform(split, lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["words"], cfg).alias("bad")))
     step = step.select("*", F.explode(F.array(F.struct(tri.alias("h"), F.size(F.array_distinct(tri)).alias("d"), lines.alias("l")))).alias("__q2"))
     h = F.col("__q2.h")
     # only texts with a window found twice pay for the sort

@@ -369,6 +369,12 @@ def test_op7_rules_line_by_line(spark):
     assert {line: got[i] == prose for i, line in enumerate(lines)} == lines
 
 
+def test_op7_splits_a_line_once(docs):
+    """The words of a line are bound: Catalyst would otherwise split the line again for each use of their number."""
+    plan = quality.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("split(") <= 3
+
+
 def test_op4_mixed_text(spark, none):
     rng = random.Random(4)
     en, fr = "the and that with which under harbour winter".split(), "le les des avec pour hiver château été".split()
