@@ -7,7 +7,9 @@ prefix's last token, and the encoding of any prefix is read by walking back.
 An append computes new prefixes only; an edit keeps the prefixes before it.
 
 Texts are split into pieces by byte and character classes, as the pattern of the
-rank files does, and each distinct piece is encoded once.
+rank files does. Distinct pieces are encoded a chunk at a time, the same prefix of
+all of them at once (``Batch``); a worker process keeps pieces with their ids over its tasks,
+within the bounds of ``tokens``.
 
 Defined results: null text is empty and has no tokens; repeated rows give repeated results.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import sys
 import unicodedata
 
@@ -30,6 +33,8 @@ _ASIS, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: The code points that \\s stands for in the pattern.
 _WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _classes: list[np.ndarray] = []
+#: So few pieces are finished one by one; bytes of pieces that are encoded at once (a longer one alone); ids that are spelled at once.
+_FEW, _ROOM, _BLOCK = 8, 1 << 18, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -210,6 +215,208 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead[s], np.searchsorted(s, edge)
 
 
+class Batch:
+    """The tables of ``PrefixBpe`` as arrays: encodes many pieces at once, one prefix of all of them after the other."""
+
+    def __init__(self, bpe: PrefixBpe) -> None:
+        self.bpe = bpe
+        top = max(bpe.bytes_of, default=0) + 1
+        self.size = np.zeros(top, np.int64)
+        self.left, self.right = np.full(top, -1, np.int64), np.full(top, -1, np.int64)
+        self.reach = np.zeros(top, bool)
+        for t, halves in bpe.parts.items():
+            self.reach[t] = True
+            if halves:
+                self.left[t], self.right[t] = halves
+        # a trie of all tokens; nodes with children come first and have a row of next nodes, node 0 is nowhere, node 1 the root
+        inner = {b""}
+        for token in bpe.ranks:
+            inner.update(token[:i] for i in range(1, len(token)))
+        number = {x: i for i, x in enumerate(sorted(inner), 1)}
+        self.inner = len(number) + 1
+        for token in bpe.ranks:
+            number.setdefault(token, len(number) + 1)
+        self.next = np.zeros((self.inner, 256), np.int32)
+        self.token = np.full(len(number) + 1, -1, np.int64)
+        for x, i in number.items():
+            if x:
+                self.next[number[x[:-1]], x[-1]] = i
+        pairs = {}
+        for token, rank in bpe.ranks.items():
+            self.size[rank] = len(token)
+            self.token[number[token]] = rank
+            for i in range(1, len(token)):
+                a, b = bpe.ranks.get(token[:i]), bpe.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a * top + b] = rank
+        self.top = top
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._hash(self.pair)] = True
+
+    @staticmethod
+    def _hash(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+
+    def _merge(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the token that x and y would make."""
+        key = x * self.top + y
+        out = np.full(len(key), _INF)
+        ask = np.flatnonzero(self.maybe[self._hash(key)])
+        if len(ask):
+            key = key[ask]
+            at = np.searchsorted(self.pair, key)
+            at[at == len(self.pair)] = 0
+            out[ask] = np.where(self.pair[at] == key, self.merged[at], _INF)
+        return out
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``PrefixBpe.apart`` of many pairs."""
+        ok = np.ones(len(x), bool)
+        who, limit = np.arange(len(x)), np.full(len(x), _INF)
+        while len(who):
+            bad = self._merge(x, y) < limit
+            ok[who[bad]] = False
+            hx, hy = self.right[x], self.left[y]
+            go = np.flatnonzero(~bad & ((hx >= 0) | (hy >= 0)))
+            who, x, y, hx, hy = who[go], x[go], y[go], hx[go], hy[go]
+            second = (hx < 0) | ((hy >= 0) & (y >= x))
+            limit = np.where(second, y + 1, x)
+            x, y = np.where(second, x, hx), np.where(second, hy, y)
+        return ok
+
+    def encode(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces [s, e), one after the other, and how many each has)."""
+        n = e - s
+        body = data[K.ranges(s, n)]
+        base = np.cumsum(n) - n
+        stop = np.repeat(base + n, n)
+        # tokens by the place where they end, longest first
+        found, whole = [], np.full(len(n), -1, np.int64)
+        piece = np.repeat(np.arange(len(n)), n)
+        at, node = np.arange(len(body)), np.ones(len(body), np.int32)
+        count = np.zeros(len(body), np.int64)
+        while len(at):
+            k = len(found)
+            node = self.next[node, body[at + k]]
+            t = self.token[node]
+            hit = np.flatnonzero(t >= 0)
+            p, t = at[hit], t[hit]
+            entire = (p == base[piece[p]]) & (p + k + 1 == stop[p])
+            whole[piece[p[entire]]] = t[entire]
+            hit = self.reach[t]
+            found.append((p[hit] + k, t[hit]))
+            count[p[hit] + k] += 1
+            go = (node > 0) & (node < self.inner)
+            at, node = at[go], node[go]
+            go = at + k + 1 < stop[at]
+            at, node = at[go], node[go]
+        free = np.cumsum(count) - count
+        token = np.zeros(int(count.sum()), np.int64)
+        for ends, t in reversed(found):
+            token[free[ends]] = t
+            free[ends] += 1
+        first = free - count
+        last = np.full(len(body), -1, np.int64)
+        last[(base + n - 1)[whole >= 0]] = whole[whole >= 0]
+        todo = np.flatnonzero(whole < 0)
+        i = 0
+        while True:
+            todo = todo[n[todo] > i]
+            if len(todo) < _FEW:
+                break
+            end = base[todo] + i
+            choice = first[end]
+            while len(end):
+                if (choice == free[end]).any():
+                    raise ValueError(f"no token for byte {body[end[choice == free[end]][0]]}")
+                t = token[choice]
+                before = end - self.size[t]
+                fits = before < base[piece[end]]
+                ask = np.flatnonzero(~fits)
+                fits[ask] = self.apart(last[before[ask]], t[ask])
+                last[end[fits]] = t[fits]
+                end, choice = end[~fits], choice[~fits] + 1
+            i += 1
+        for j in todo.tolist():  # few and long
+            a, z = int(base[j]), int(base[j] + n[j])
+            last[a:z] = self.bpe.extend(body[a:z].tobytes(), last[a : a + i].tolist())
+        kept = np.zeros(len(body), bool)
+        end = base + n - 1
+        low = base
+        while len(end):
+            kept[end] = True
+            end = end - self.size[last[end]]
+            go = end >= low
+            end, low = end[go], low[go]
+        return last[kept].astype(np.uint32), np.diff(np.concatenate([[0], np.cumsum(kept)])[np.append(base, len(body))])
+
+
+class Pieces(tokens.PieceEncoder):
+    """Distinct pieces of texts with their ids, and what ids are as text and as bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__(None)
+        bpe = PrefixBpe(ranks)
+        self.batch = Batch(bpe)
+        every = range(self.batch.top)
+        self.named = self._laid([b",%d" % t for t in every])
+        self.plain = self._laid([bpe.bytes_of.get(t, b"") for t in every])
+
+    @staticmethod
+    def _laid(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in strings], np.int64)
+        return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size
+
+    def fresh(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.cumsum(e - s)
+        flat, n, i = [], [], 0
+        while i < len(s):
+            j = int(np.searchsorted(total, total[i] - (e[i] - s[i]) + _ROOM, "right"))
+            if j > i:
+                ids, size = self.batch.encode(data, s[i:j], e[i:j])
+            else:
+                j = i + 1
+                ids = np.array(self.batch.bpe.encode(data[s[i] : e[i]].tobytes()), np.uint32)
+                size = np.array([len(ids)])
+            flat.append(ids)
+            n.append(size)
+            i = j
+        return np.concatenate(flat), np.concatenate(n)
+
+
+def sha256(ids: np.ndarray, ptr: np.ndarray, strings: tuple[np.ndarray, np.ndarray, np.ndarray], skip: int = 0) -> list[str]:
+    """By document, lowercase hex of the digest of its ids' strings in a row, without the first ``skip`` bytes."""
+    body, at, size = strings
+    out = [hashlib.sha256() for _ in range(len(ptr) - 1)]
+    for lo in range(0, len(ids), _BLOCK):
+        part = ids[lo : lo + _BLOCK]
+        n = size[part]
+        raw = memoryview(body[K.ranges(at[part], n)])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        i, j = np.searchsorted(ptr, lo, "right") - 1, np.searchsorted(ptr, lo + len(part), "left")
+        cut = edge[np.clip(ptr[i : j + 1] - lo, 0, len(part))].tolist()
+        for d, a, b in zip(range(i, j), cut[:-1], cut[1:]):
+            if b > a:
+                out[d].update(raw[a + (skip if ptr[d] >= lo else 0) : b])
+    return [h.hexdigest() for h in out]
+
+
+#: The pieces that this worker process used last, by rank file: what a task has met, the next one need not encode.
+_last: dict[tuple, Pieces] = {}
+
+
+def piece_encoder(path: str) -> Pieces:
+    """The encoder of a rank file, kept for the tasks that follow in the same process; ``tokens.LIMIT`` and ``tokens.ROOM`` bound it."""
+    about = os.stat(path)
+    key = (path, about.st_mtime_ns, about.st_size)
+    if key not in _last:
+        _last.clear()
+        _last[key] = Pieces(load_ranks(path))
+    return _last[key]
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every whole text."""
     if path is None:
@@ -218,28 +425,17 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):
-        enc = None
+        enc = piece_encoder(path)
         for b, data, off in K.chunks(batches):
-            if enc is None:
-                bpe = PrefixBpe(load_ranks(path))
-                enc = tokens.PieceEncoder(lambda raws: [bpe.encode(x.encode()) for x in raws])
-                named = {t: str(t) for t in bpe.bytes_of}
             s, ptr = pieces(data, off)
-            e = np.append(s[1:], len(data))
-            n = len(off) - 1
             if len(s):
-                slot = enc.slots(data, s, e)
-                used, inverse = np.unique(slot, return_inverse=True)
-                flat, first, size = enc.pool, enc.start[used].tolist(), enc.size[used].tolist()
-                ids = [flat[a : a + k].tolist() for a, k in zip(first, size)]
-                text = np.array([",".join([named[t] for t in x]) for x in ids], object)
-                back = np.array([bpe.decode(x) for x in ids], object)
-                count = np.concatenate([[0], np.cumsum(enc.size[slot])])[ptr]
-                text, back = text[inverse], back[inverse]
+                slot = enc.slots(data, s, np.append(s[1:], len(data)))
+                n = enc.size[slot]
+                ids = enc.pool[K.ranges(enc.start[slot], n)]
+                count = np.concatenate([[0], np.cumsum(n)])[ptr]
             else:
-                count, text, back = np.zeros(n + 1, np.int64), np.zeros(0, object), np.zeros(0, object)
-            sha = [hashlib.sha256(",".join(text[i:j]).encode()).hexdigest() for i, j in zip(ptr[:-1], ptr[1:])]
-            dec = [hashlib.sha256(b"".join(back[i:j])).hexdigest() for i, j in zip(ptr[:-1], ptr[1:])]
+                ids, count = np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            sha, dec = sha256(ids, count, enc.named, 1), sha256(ids, count, enc.plain)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(count)), pa.array(sha, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -59,16 +59,20 @@ class PieceEncoder:
         self.known = K.Vocabulary()
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def fresh(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of spans not met before, one after the other, and how many each has)."""
+        raw = data.tobytes()
+        got = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist())])
+        n = np.array([len(x) for x in got], np.int64)
+        return np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n
+
     def slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For each span the number of its entry in start and size; encodes what is new."""
         if self.known.count > LIMIT or self.known.bytes > ROOM:
             self.clear()
         out, new = self.known.numbers(data, s, e)
         if len(new):
-            raw = data.tobytes()
-            got = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())])
-            n = np.array([len(x) for x in got], np.int64)
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+            flat, n = self.fresh(data, s[new], e[new])
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
             self.size, self.pool = np.concatenate([self.size, n]), np.concatenate([self.pool, flat])
         return out

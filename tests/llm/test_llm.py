@@ -333,6 +333,40 @@ def test_op6_appends_and_edits():
         assert table == enc.extend(new, []) and enc.decode(enc.walk(table)) == new
 
 
+def test_op6_pieces_in_batches(monkeypatch):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rng, one, enc = random.Random(4), bpe.PrefixBpe(bpe.load_ranks(path)), bpe.piece_encoder(path)
+    assert bpe.piece_encoder(path) is enc  # kept for the next task
+    some = ["".join(rng.choice("etaoinshré日") for _ in range(rng.randint(1, 24))).encode() for _ in range(2000)]
+    some += [b"the", b"\0\xff", b"unhelpful" * 300, b" " * 900, bytes(rng.randrange(256) for _ in range(700))]
+    want, n = [one.encode(x) for x in some], np.array([len(x) for x in some])
+    data, s = np.frombuffer(b"".join(some), np.uint8), np.cumsum(n) - n
+    calls, extend = [], bpe.PrefixBpe.extend
+    monkeypatch.setattr(bpe.PrefixBpe, "extend", lambda self, text, last: calls.append(1) or extend(self, text, last))
+    for room in (1000, 1 << 18):
+        monkeypatch.setattr(bpe, "_ROOM", room)
+        calls.clear()
+        ids, size = enc.fresh(data, s, s + n)
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == [t for x in want for t in x]
+    assert 0 < len(calls) < bpe._FEW  # the longest only
+    own = {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"ab": 4, b"abc": 5, b"cabx": 6, b"x": 7}  # no merge reaches cabx
+    one, enc = bpe.PrefixBpe(own), bpe.Pieces(own)
+    some = [bytes(rng.choice(b"abcx") for _ in range(rng.randint(1, 9))) for _ in range(300)] + [b"cabx", b"cabxcabx"]
+    n = np.array([len(x) for x in some])
+    ids, size = enc.fresh(np.frombuffer(b"".join(some), np.uint8), np.cumsum(n) - n, np.cumsum(n))
+    assert ids.tolist() == [t for x in some for t in one.encode(x)] and size.tolist() == [len(one.encode(x)) for x in some]
+    with pytest.raises(ValueError):
+        enc.fresh(np.frombuffer(b"abz" * 20, np.uint8), np.arange(0, 60, 3), np.arange(3, 61, 3))
+    monkeypatch.setattr(bpe, "_BLOCK", 7)
+    ptr = np.array([0, 0, 3, 14, 14, 30, 30])
+    ids = np.array([rng.randrange(8) for _ in range(30)], np.uint32)
+    docs = [ids[i:j].tolist() for i, j in zip(ptr[:-1], ptr[1:])]
+    assert bpe.sha256(ids, ptr, enc.named, 1) == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in docs]
+    assert bpe.sha256(ids, ptr, enc.plain) == [hashlib.sha256(one.decode(x)).hexdigest() for x in docs]
+
+
 def test_op7_brute_force(docs, none):
     got = {r.doc_id: r for r in quality.clean(docs).collect()}
     for i, t in corpus():
